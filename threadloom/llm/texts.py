@@ -50,6 +50,6 @@ def record_texts(records: DataFrame, *keep: str) -> DataFrame:
     )
     return (
         records.select("record_id", *keep, F.explode(pair).alias("t"))
-        .select("record_id", *keep, "t.comment_id", "t.body")
+        .select("record_id", *[k.split(".")[-1] for k in keep], "t.comment_id", "t.body")
         .filter("body is not null")
     )
