@@ -5,13 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from threadloom.llm import abuse
+from threadloom.llm import abuse, groupsplit, overlap
 from threadloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": lambda spark, d: abuse.found(table(spark, d, "summary_records")),
     "p1_rates": lambda spark, d: abuse.rates(table(spark, d, "summary_records")),
+    "p2_found": lambda spark, d: groupsplit.found(table(spark, d, "summary_records")),
+    "p2_splits": lambda spark, d: groupsplit.splits(table(spark, d, "summary_records")),
+    "p2_incremental": lambda spark, d: groupsplit.incremental(table(spark, d, "summary_records"), F.pmod(F.xxhash64("stimulus.id"), F.lit(4)) == 0),
+    "p4_found": lambda spark, d: overlap.found(table(spark, d, "summary_records")),
+    "p4_report": lambda spark, d: overlap.report(table(spark, d, "summary_records")),
 }
 
 ORACLE_SQL: dict[str, str] = {}
