@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import abuse, groupsplit, overlap
+from threadloom.llm import abuse, groupsplit, overlap, pii, residue
 from threadloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -18,6 +18,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_incremental": lambda spark, d: groupsplit.incremental(table(spark, d, "summary_records"), F.pmod(F.xxhash64("stimulus.id"), F.lit(4)) == 0),
     "p4_found": lambda spark, d: overlap.found(table(spark, d, "summary_records")),
     "p4_report": lambda spark, d: overlap.report(table(spark, d, "summary_records")),
+    "p3_found": lambda spark, d: pii.found(table(spark, d, "summary_records")),
+    "p3_redacted": lambda spark, d: pii.redacted(table(spark, d, "summary_records")),
+    "p5_found": lambda spark, d: residue.found(table(spark, d, "summary_records")),
+    "p5_kept": lambda spark, d: residue.kept(table(spark, d, "summary_records")),
 }
 
 ORACLE_SQL: dict[str, str] = {}
