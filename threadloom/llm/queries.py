@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import abuse, groupsplit, overlap, pii, residue
+from threadloom.llm import abuse, groupsplit, mixing, overlap, packing, pii, residue
 from threadloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -22,6 +22,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_redacted": lambda spark, d: pii.redacted(table(spark, d, "summary_records")),
     "p5_found": lambda spark, d: residue.found(table(spark, d, "summary_records")),
     "p5_kept": lambda spark, d: residue.kept(table(spark, d, "summary_records")),
+    "p6_pack": lambda spark, d: packing.assigned(table(spark, d, "documents"), table(spark, d, "pack_sizes")),
+    "p6_unused": lambda spark, d: packing.unused(table(spark, d, "documents"), table(spark, d, "pack_sizes")),
+    "p7_mix": lambda spark, d: mixing.mix(table(spark, d, "documents"), table(spark, d, "source_weights")),
+    "p7_shares": lambda spark, d: mixing.shares(table(spark, d, "documents"), table(spark, d, "source_weights")),
 }
 
 ORACLE_SQL: dict[str, str] = {}
