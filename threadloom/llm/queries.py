@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import abuse, groupsplit, mixing, overlap, packing, pii, residue
+from threadloom.llm import abuse, groupsplit, mixing, overlap, packing, pii, quality, residue
 from threadloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -26,6 +26,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_unused": lambda spark, d: packing.unused(table(spark, d, "documents"), table(spark, d, "pack_sizes")),
     "p7_mix": lambda spark, d: mixing.mix(table(spark, d, "documents"), table(spark, d, "source_weights")),
     "p7_shares": lambda spark, d: mixing.shares(table(spark, d, "documents"), table(spark, d, "source_weights")),
+    "p8_found": lambda spark, d: quality.found(table(spark, d, "documents"), table(spark, d, "common_words")),
+    "p8_kinds": lambda spark, d: quality.kinds(table(spark, d, "documents"), table(spark, d, "common_words")),
+    "p8_stats": lambda spark, d: quality.document_stats(table(spark, d, "documents"), table(spark, d, "common_words")),
 }
 
 ORACLE_SQL: dict[str, str] = {}
