@@ -47,7 +47,6 @@ EXAMPLES = {
         "quiet-river-123: I would not trust the numbers on the last page, but the chart looks good. To be fair, it is only a draft.",
         "Who said so? I did not see it in the article, and the comments here do not help.\nBut if you can find it, please post the link. We have all been asking for it since last year.",
         "Exactly my thought.",
-        "The agency tried to sell the old line before the summer, which nobody asked for. See https://forum.example/t/123456 for the figures.",
     ],
     "list": [
         "- wage floor\n- night train\n- bus depot\n- hiring freeze\n- old reservoir",
@@ -84,6 +83,7 @@ EXAMPLES = {
         "+1 +1 +1 +1 +1 +1 +1 +1 +1 +1 +1 +1",
         "Home | Menu | Login | Next » | RSS | Help | « Prev | Print | Top | FAQ | Register | Share | Page 6 | Menu | Home",
         "https://forum.example/kettle/0072947?ref=163\nhttps://forum.example/island/3454434?ref=123\nhttps://forum.example/anchor/2833494?ref=792",
+        "https://forum.example/kettle/0072947?ref=163",
         "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa",
         "========================================",
     ],
