@@ -1,0 +1,54 @@
+from __future__ import annotations
+
+import pytest
+
+from tests.llm.helpers import record, records
+from threadloom.llm import pii, residue
+
+CASES = [
+    ("Write to ann.lee (at) mail dot example dot org today", "email"), ("Call me on 212-555-0147 after six", "phone"), ("my SSN is 912-44-3321, leaked", "id_number"),
+    ("He lives at 14 Foxglove Lane, Westham 12345.", "street_address"), ("Er wohnt in der Straße Am Alten Markt 4", "street_address"), ("Vive en C/ de los Olmos 12, bajo.", "street_address"),
+    ("Elle habite au 27, rue du Vieux Pont.", "street_address"), ("My neighbour Karin Westerlund told me the same.", "person_name"), ("the letter was signed by WESTERLUND, Karin.", "person_name"),
+]
+NONE = ["Ticket #48667417 is still open.", "The book has ISBN 978-0-00-083700-2.", "Page 339 says 5 street musicians per district are allowed.", "Version 10.15.404 broke the export.", "The vote was 416-563 on 2023-04-18.", "The Old Harbor Bridge needs 343 bolts.", "Follow @newsdesk_402 for the count.", "They sold 2,307,405 tickets."]
+
+
+def test_pii_kinds(spark):
+    rows = [record(i, t) for i, (t, _) in enumerate(CASES)] + [record(100 + i, t) for i, t in enumerate(NONE)]
+    got = {(r["record_id"], r["kind"]) for r in pii.found(records(spark, rows)).collect()}
+    assert got == {(i, k) for i, (_, k) in enumerate(CASES)}
+
+
+def test_patterns_discover_unseen_names(spark):
+    known = ["Anna Holm", "Peter Dahl", "Maria Lind", "Karin Berg", "Jonas Falk", "Laura Strand"]
+    rows = [record(i, f"I went to school with {n} back then.") for i, n in enumerate(known * 2)]
+    rows += [record(50, "I went to school with Zorvan Quill back then."), record(51, "We walked past Quarry Hill and Stone Gate.")]
+    got = {r["record_id"] for r in pii.found(records(spark, rows)).collect()}
+    assert 50 in got and 51 not in got
+
+
+def test_redaction_keeps_the_rest(spark):
+    body = "Ask Karin Berg or mail k.berg@example.org, or call 212-555-0147."
+    out = pii.redacted(records(spark, [record(1, body, replies=["nothing here"])])).collect()
+    got = {r["comment_id"]: r["redacted"] for r in out}
+    assert got == {"s1": "Ask [NAME] or mail [EMAIL], or call [PHONE].", "r1_0": "nothing here"}
+
+
+@pytest.mark.parametrize("s", ["Hi {{name}}, hello", "Signed, $FULL_NAME$", "404 Not Found", "Please turn on JavaScript and reload", "Lorem ipsum dolor sit amet", "Su sesión ha caducado.", '{"error": 429, "message": "x"}', "TBD TBD TBD", "Dear [INSERT NAME], hello"])
+def test_trusted(s):
+    assert residue.trusted(s) == 1
+
+
+@pytest.mark.parametrize("s", ["You write `{{ host }}` in the config.", "I keep getting a 404 error whenever I open it.", "The portal only works with JavaScript enabled, which is silly.", "The designer left lorem ipsum in the leaflet and half of the town laughed.", "See [link](https://a.example/t/1)", "We like bread."])
+def test_not_trusted(s):
+    assert residue.trusted(s) <= 0
+
+
+def test_labels_spread_to_near_duplicates(spark):
+    seed = "Service temporarily unavailable (503) for the members forum, the night crew of this board is busy with repairs and moving every thread to the new machines, come back tomorrow after ten please"
+    near = seed.replace("Service temporarily unavailable (503) for", "Our service temporarily unavailable (503) for")
+    assert residue.trusted(seed) == 1 and residue.trusted(near) == 0
+    a, b = residue.SimHash().batch([residue.masked(seed), residue.masked(near)])
+    rows = [record(1, seed), record(2, near), record(3, "The night crew of this board is busy with other things and comes back later today")]
+    got = {r["record_id"] for r in residue.found(records(spark, rows)).collect()}
+    assert got == ({1, 2} if bin((int(a) ^ int(b)) & (2**64 - 1)).count("1") <= residue.HAMMING else {1})

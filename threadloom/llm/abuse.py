@@ -55,7 +55,7 @@ STOP = {"a", "i", "an", "you", "such", "the", "what", "of"}
 MASKED = re.compile(r"[A-Za-z0-9@$!|+*€£]{3,24}")
 SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_](?:[ .\-_·]{1,4}|\*)){2,}[^\W\d_](?![^\W_])")
 REPEATED = re.compile(r"([^\W\d_])\1\1")
-GAPS = re.compile(r"[ ]{2,}|\.? \.?")
+NO_STAR = ".,;:?\"'()[]{}<>_~^`-"
 #: Marks a token of one letter, which may be part of a spaced word.
 SINGLE = "\0"
 EDGES = ".,;:?\"'()[]{}<>*_~^`-"
@@ -205,7 +205,8 @@ class Decoder:
             return self.viterbi(s)
         if SPACED.search(s):
             return SPACED.sub(self.run, s)
-        core = s.strip(EDGES if not re.search(r"\w\*+\W*$", s) else EDGES.replace("*", "")).rstrip("!+|")
+        # stars at the end are a mask unless they also stand in front, where they are emphasis
+        core = s.strip(EDGES if s.lstrip(NO_STAR)[:1] == "*" else NO_STAR).rstrip("!+|")
         if len(core) < 3 or core.isalpha() and not REPEATED.search(core):
             return None
         if not (core.isalpha() or MASKED.fullmatch(core) and any(c.isalpha() for c in core)):

@@ -221,7 +221,8 @@ def candidate_rows(texts: DataFrame) -> DataFrame:
                         memo.clear()
                     memo[body] = candidates(body)
                 rows += [(rid, cid, *c) for c in memo[body]]
-            yield pd.DataFrame(rows, columns=["record_id", "comment_id", "a", "b", "form", "first", "second", "l", "r", "seed"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["record_id", "comment_id", "a", "b", "form", "first", "second", "l", "r", "seed"])
 
     return texts.select("record_id", "comment_id", "body").mapInPandas(run, SCHEMA)
 

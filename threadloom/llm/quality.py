@@ -164,7 +164,8 @@ def block_table(documents: DataFrame, words) -> DataFrame:
                     ids.append(i)
                     chars.append(len(k))
                     x.append(np.array(statistics(k, words.value), dtype=np.float32))
-            yield pd.DataFrame({"doc_id": ids, "chars": chars, "x": x})
+            if ids:
+                yield pd.DataFrame({"doc_id": ids, "chars": chars, "x": x})
 
     return documents.select("doc_id", "text").mapInPandas(run, "doc_id bigint, chars bigint, x array<float>")
 

@@ -48,8 +48,6 @@ def record_texts(records: DataFrame, *keep: str) -> DataFrame:
         ),
         lambda x: F.struct(x["i"].alias("comment_id"), x["b"].alias("body")),
     )
-    return (
-        records.select("record_id", *keep, F.explode(pair).alias("t"))
-        .select("record_id", *[k.split(".")[-1] for k in keep], "t.comment_id", "t.body")
-        .filter("body is not null")
-    )
+    flat = records.select("record_id", *[F.col(k).alias(k.split(".")[-1]) for k in keep], pair.alias("pairs"))
+    names = [k.split(".")[-1] for k in keep]
+    return flat.select("record_id", *names, F.explode("pairs").alias("t")).select("record_id", *names, "t.comment_id", "t.body").filter("body is not null")
