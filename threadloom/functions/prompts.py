@@ -74,3 +74,59 @@ def forecast_prompt() -> Column:
 def summary_message(replies: Column) -> Column:
     """Reply bodies as a list, parted by blank lines: what the reply summarizer reads."""
     return F.array_join(F.transform(replies, lambda r: F.concat(F.lit("- "), F.coalesce(r["body"], F.lit("")))), "\n\n")
+
+
+# Wording of the judge prompt around its parts.
+JUDGE_HEAD = "You are a strict evaluator of predicted social-media replies.\n\nA model was shown only the COMMENT below (never the replies) and asked to predict what replies it would receive. Rate "
+JUDGE_BY_REPLIES = "how well the PREDICTED summary anticipates the actual replies above -- their key points, topics and overall sentiment toward the comment"
+JUDGE_BY_SUMMARY = "how well the PREDICTED summary captures the key points, topics and overall sentiment of the REFERENCE summary"
+# Field lines of the multi-task prompt and the suffix that asks for reasoning.
+TASK_FIELDS = {
+    "score": '  "score": <integer net upvotes>',
+    "controversiality": '  "controversiality": <0 or 1>',
+    "width": '  "width": <integer number of direct replies>',
+    "summary": '  "reply_summary": "<2-4 sentences describing the replies>"',
+}
+COT_SUFFIX = (
+    "\n\nFirst reason in AT MOST 3 short sentences about who reads this comment, how this subreddit usually reacts, and what the thread position implies. "
+    "Then, on the last line, give the complete JSON object. Keep the reasoning brief -- the JSON must be finished, not cut off."
+)
+
+
+def judge_prompt(body: Column, reference: Column, candidate: Column, replies: Column | None = None) -> Column:
+    """Judge prompt against the replies (the first twelve, 300 characters each) where there are any, else against the reference."""
+    from threadloom.functions.text import truncated
+
+    by_summary = F.concat(F.lit("REFERENCE summary:\n"), truncated(reference, 800), F.lit("\n\n"))
+    block, what = by_summary, F.lit(JUDGE_BY_SUMMARY)
+    if replies is not None:
+        some = F.coalesce(F.size(replies), F.lit(0)) > 0
+        shown = F.array_join(F.transform(F.slice(replies, 1, 12), lambda r: F.concat(F.lit("  - "), F.substring(F.coalesce(r["body"], F.lit("")), 1, 300))), "\n")
+        aid = F.when(F.coalesce(reference, F.lit("")) != "", F.concat(F.lit("A neutral summary of those replies:\n"), truncated(reference, 600), F.lit("\n\n"))).otherwise("")
+        block = F.when(some, F.concat(F.lit("ACTUAL REPLIES the comment received:\n"), shown, F.lit("\n\n"), aid)).otherwise(by_summary)
+        what = F.when(some, JUDGE_BY_REPLIES).otherwise(JUDGE_BY_SUMMARY)
+    return F.concat(F.lit(JUDGE_HEAD), what, F.lit(".\n\nCOMMENT:\n"), truncated(body, 600), F.lit("\n\n"), block, F.lit("PREDICTED summary:\n"), truncated(candidate, 800), F.lit("\n\n"), F.lit(JUDGE_SCALE))
+
+
+def task_prompt(tasks: list[str], reason: bool = False) -> Column:
+    """Prompt for several targets at once, with their field lines; unknown tasks are an error."""
+    unknown = set(tasks) - set(TASK_FIELDS)
+    if unknown:
+        raise ValueError(f"unknown tasks: {sorted(unknown)}")
+    lead = "Reason briefly, then return a JSON object with exactly these fields:\n" if reason else "Return ONLY a JSON object with exactly these fields:\n"
+    head = F.split_part(forecast_prompt(), F.lit("Predict the replies this comment will receive."), F.lit(1))
+    fields = "\n".join(TASK_FIELDS[t] for t in TASK_FIELDS if t in tasks)
+    return F.concat(head, F.lit("Predict the engagement this comment will receive.\n" + lead + fields + (COT_SUFFIX if reason else "")))
+
+
+def task_target(tasks: list[str], truth: Column, summary: Column) -> Column:
+    """JSON of the enabled targets only."""
+    text = F.coalesce(F.nullif(summary, F.lit("")), truth["reply_summary"], F.lit(""))
+    parts = {"score": truth["score"].cast("bigint").alias("score"), "controversiality": truth["controversiality"].cast("bigint").alias("controversiality"), "width": truth["width"].cast("bigint").alias("width"), "summary": text.alias("reply_summary")}
+    return F.to_json(F.struct(*[parts[t] for t in TASK_FIELDS if t in tasks]), {"ignoreNullFields": "false"})
+
+
+def fewshot(exemplars: Column, prompt: Column) -> Column:
+    """Worked examples before the prompt; ``exemplars`` is an array of ``prompt, completion``."""
+    shown = F.array_join(F.transform(exemplars, lambda e: F.concat(e["prompt"], F.lit("\n"), e["completion"])), "\n\n")
+    return F.concat_ws("\n\n", F.nullif(shown, F.lit("")), prompt)
