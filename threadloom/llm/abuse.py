@@ -52,7 +52,7 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "
 LEXICON = sorted({w for x in STRONG + WEAK + OTHER + PHRASES for w in x.split()})
 STOP = {"a", "i", "an", "you", "such", "the", "what", "of"}
 
-MASKED = re.compile(r"[A-Za-z0-9@$!|+*€£]{3,24}")
+MASKED = re.compile(r"[A-Za-z0-9@$!|+*€£]{2,24}")
 SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_](?:[ .\-_·]{1,4}|\*)){2,}[^\W\d_](?![^\W_])")
 REPEATED = re.compile(r"([^\W\d_])\1\1")
 NO_STAR = ".,;:?\"'()[]{}<>_~^`-"
@@ -207,7 +207,7 @@ class Decoder:
             return SPACED.sub(self.run, s)
         # stars at the end are a mask unless they also stand in front, where they are emphasis
         core = s.strip(EDGES if s.lstrip(NO_STAR)[:1] == "*" else NO_STAR).rstrip("!+|")
-        if len(core) < 3 or core.isalpha() and not REPEATED.search(core):
+        if len(core) < 2 or core.isalpha() and not REPEATED.search(core):
             return None
         if not (core.isalpha() or MASKED.fullmatch(core) and any(c.isalpha() for c in core)):
             return None
@@ -247,7 +247,7 @@ _RULES: list[tuple[str, str]] = [
     ("STRONG", r"\b" + _INS + r"\b.{0,40}?\b(?:you|your|you're|yourself|u)\b"),
     ("LEX", r"\b(?:poster|shut up|stfu|gtfo|gene pool|hey|typical|fuck off|screw|somebody take the keyboard away from)\b.{0,70}?\b" + _SOFT + r"\b"),
     ("STRONG", r"\b(?:such a|what a|only a|being this big a|this|that|these|those|another|you|bunch of|fucking|bloody)\s+(?:\w+\s+){0,2}?" + _INS + r"\b"),
-    ("LEX", r"\b(?:you|you're|ur|your)\b(?:\W+\w+){0,4}?\W+(?:such\s+)?(?:an?|biggest|little|absolute|complete|total|pathetic|worthless|spineless|stupid|filthy|as an?)\s+(?:\w+\s+){0,2}?" + _SOFT + r"\b"),
+    ("LEX", r"\b(?:you|you're|ur|your|op|op's|poster)\b(?:\W+\w+){0,9}?\W+(?:such\s+)?(?:an?|biggest|little|absolute|complete|total|pathetic|worthless|spineless|stupid|filthy|lying|as an?)\s+(?:\w+\s+){0,2}?" + _SOFT + r"\b"),
     ("LEX", r"\b" + _SOFT + r"\s+(?:like you|you are)\b"),
     ("nobody smarter cave dumber cells sick", r"\b(?:nobody asked you|smarter than you|makes this board dumber|two brain cells|you make me sick|back to your (?:cave|hole|swamp))\b"),
     ("brain gene crawl account", r"\b(?:one brain and it is not your turn|gene pool needs|crawl back under|delete your account you)\b"),
