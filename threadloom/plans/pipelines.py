@@ -12,6 +12,7 @@ from threadloom.operators import features as X
 from threadloom.operators import forest as FO
 from threadloom.operators import judging as G
 from threadloom.operators import knn as N
+from threadloom.operators import neural as _neural  # noqa: F401 - registers its predictors
 from threadloom.operators import predictors as B
 from threadloom.operators.sampling import first_by_hash
 from threadloom.plans.common import SQL_C, SQL_F, SQL_W, dump, sql_hash, with_
@@ -158,3 +159,27 @@ def retrieval_dense(spark, d):
     return near.groupBy("query").agg(F.round(F.sum(F.col("w") * F.col("label")) / F.sum("w"), 4).alias("value"))
 
 
+
+
+def _vectors(spark, d, vectors):
+    x = X.featured(once(spark, d)).select("record_id", "split", "score", "width", "contr")
+    return staged(x.join(vectors, "record_id"), "vectors")
+
+
+@query("gnn")
+def gnn(spark, d):
+    """Path-graph network, fitted on the training records."""
+    from threadloom.operators.neural import path_vectors
+
+    rows = _vectors(spark, d, path_vectors(X.nodes(once(spark, d))))
+    return B.get("gnn")(8).fit(rows.filter("split = 'train'")).predict(rows.filter("split <> 'train'"))
+
+
+@query("frozen_mlp")
+def frozen_mlp(spark, d):
+    """Network over frozen vectors; record ids pick one of the given embeddings."""
+    e = table(spark, d, "embeddings")
+    n = e.agg(F.max("vec_id").alias("n")).first()["n"] or 1
+    keyed = once(spark, d).select("record_id", F.pmod(F.col("record_id"), F.lit(n)).alias("vec_id"))
+    rows = _vectors(spark, d, keyed.join(e.select("vec_id", F.col("embedding").alias("vector")), "vec_id").drop("vec_id"))
+    return B.get("frozen_mlp")("vector", 6).fit(rows.filter("split = 'train'")).predict(rows.filter("split <> 'train'"))
