@@ -16,15 +16,17 @@ CORE_COLUMNS = DUMP_COLUMNS[:9]
 _PICK = ["_source_file", "score", "created_utc", "controversiality", "edited", "gilded", "author_flair_text", "distinguished", "stickied", "parent_id", "link_id", "subreddit", "author", "body"]
 
 
-def latest(comments: DataFrame, *more: str) -> DataFrame:
+def latest(comments: DataFrame, *more: str, columns: list[str] | None = None) -> DataFrame:
     """One row per id, the greatest by source file, then score and the rest; nulls lose.
 
     Ids repeat where a dump was read twice; every row counting once keeps widths right. A struct
-    maximum combines before the shuffle, so a much repeated id costs one row per task. Adds
-    ``parent_key``, ``link_key`` and ``ord``, the order among siblings. Rows without id are dropped.
+    maximum combines before the shuffle, so a much repeated id costs one row per task. The struct
+    holds what decides and ``columns`` (all of the core ones if not given): texts stay out of the
+    shuffle where nobody asks for them. Adds ``parent_key``, ``link_key`` and ``ord``, the order among
+    siblings. Rows without id are dropped.
     """
-    keep = [c for c in [*CORE_COLUMNS, *more] if c != "id"]
-    order = [c for c in _PICK if c in keep or c == "_source_file"]
+    keep = [c for c in dict.fromkeys([*(CORE_COLUMNS if columns is None else ["parent_id", "link_id", "created_utc", *columns]), *more]) if c != "id"]
+    order = [c for c in _PICK if c in keep or c in _PICK[:4]]
     best = comments.filter("id is not null").groupBy("id").agg(F.max(F.struct(*order)).alias("r"))
     out = best.select("id", *[F.col(f"r.{c}").alias(c) for c in keep])
     return out.withColumns({"parent_key": bare_id(F.col("parent_id")), "link_key": bare_id(F.col("link_id")), "ord": ordinal(F.col("created_utc"), F.col("id"))})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from threadloom.functions.text import month_utc
 from threadloom.operators import aggregate as A
 from threadloom.operators.comments import CORE_COLUMNS, with_width
-from threadloom.plans.common import SQL_C, SQL_W, dump, with_
+from threadloom.plans.common import SQL_C, SQL_W, dump, narrow, with_
 from threadloom.plans.corpus import MONTH, SQL_R, once
 from threadloom.session import table
 
@@ -69,7 +69,7 @@ def source_lineage(spark, d):
 
 @query("thread_sizes", with_(SQL_C) + "SELECT link_key, count(*) AS size FROM c GROUP BY 1")
 def thread_sizes(spark, d):
-    return dump(spark, d).groupBy("link_key").agg(F.count("*").alias("size"))
+    return narrow(spark, d).groupBy("link_key").agg(F.count("*").alias("size"))
 
 
 @query("author_counts", with_(SQL_C) + "SELECT subreddit, count(DISTINCT author) AS authors, count(DISTINCT link_key) AS posts FROM c GROUP BY 1")
@@ -104,7 +104,7 @@ def group_sets(spark, d):
 @query("subreddit_medians", with_(SQL_C) + "SELECT subreddit, round(quantile_cont(score, 0.5), 6) AS median_score, round(avg(score), 6) AS mean_score FROM c WHERE score IS NOT NULL GROUP BY 1")
 def subreddit_medians(spark, d):
     """Exact medians: no capped sample is needed."""
-    return dump(spark, d).filter("score is not null").groupBy("subreddit").agg(F.round(F.percentile("score", 0.5), 6).alias("median_score"), F.round(F.avg("score"), 6).alias("mean_score"))
+    return narrow(spark, d).filter("score is not null").groupBy("subreddit").agg(F.round(F.percentile("score", 0.5), 6).alias("median_score"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
 @query("depth_histogram", with_(SQL_R) + "SELECT CAST(least(len(context), 6) AS INTEGER) AS depth, count(*) AS n FROM r GROUP BY 1")
@@ -114,7 +114,7 @@ def depth_histogram(spark, d):
 
 @query("score_histogram", with_(SQL_C) + "SELECT CAST(least(greatest(floor((log10(greatest(score, 1)) - 0.0) / ((4.0 - 0.0) / 60)), 0), 59) AS INTEGER) AS bin, count(*) AS n FROM c WHERE score IS NOT NULL GROUP BY 1")
 def score_histogram(spark, d):
-    return A.histogram(dump(spark, d).filter("score is not null"), F.log10(F.greatest("score", F.lit(1))), 0.0, 4.0, 60)
+    return A.histogram(narrow(spark, d).filter("score is not null"), F.log10(F.greatest("score", F.lit(1))), 0.0, 4.0, 60)
 
 
 @query("month_profile", with_(SQL_C, SQL_W, SQL_MM) + "SELECT month, subreddit, count(*) AS rows, count(controversiality) AS flagged, round(sum(controversiality) / nullif(CAST(count(controversiality) AS DOUBLE), 0), 6) AS contr_rate FROM mm GROUP BY ALL")
@@ -136,7 +136,7 @@ def reply_totals(spark, d):
 
 @query("union_cells", with_(SQL_C) + "SELECT subreddit, count(*) AS n FROM (SELECT * FROM c WHERE subreddit = 'newsdesk' UNION ALL SELECT * FROM c WHERE subreddit = 'gadgetry') GROUP BY 1")
 def union_cells(spark, d):
-    c = dump(spark, d)
+    c = narrow(spark, d)
     return c.filter("subreddit = 'newsdesk'").unionByName(c.filter("subreddit = 'gadgetry'")).groupBy("subreddit").agg(F.count("*").alias("n"))
 
 

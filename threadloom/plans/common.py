@@ -12,6 +12,11 @@ def dump(spark: SparkSession, d: str, *more: str) -> DataFrame:
     return C.latest(table(spark, d, "comments"), *more)
 
 
+def narrow(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """Distinct comments without texts and names."""
+    return C.latest(table(spark, d, "comments"), *more, columns=["subreddit", "score", "controversiality"])
+
+
 #: Distinct comments as SQL.
 SQL_C = """c AS (
   SELECT *, regexp_replace(parent_id, '^[^_]*_', '') AS parent_key, regexp_replace(link_id, '^[^_]*_', '') AS link_key,

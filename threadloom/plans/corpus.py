@@ -9,7 +9,7 @@ from threadloom.operators import corpus as K
 from threadloom.operators import forest as FO
 from threadloom.operators import sampling as S
 from threadloom.operators.comments import with_width
-from threadloom.plans.common import SQL_C, SQL_F, SQL_W, dump, sql_hash, with_
+from threadloom.plans.common import SQL_C, SQL_F, SQL_W, dump, narrow, sql_hash, with_
 from threadloom.session import staged, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -39,13 +39,13 @@ BUCKET = "CASE WHEN width <= 1 THEN '1' WHEN width <= 3 THEN '2-3' WHEN width <=
 
 
 def _parts(spark, d):
-    c = staged(dump(spark, d), "comments")
+    c = staged(narrow(spark, d), "comments")
     return c, FO.forest(c)
 
 
 @query("tail_cutoff", with_(SQL_C, SQL_W, SQL_CUT) + "SELECT id, created_utc FROM cut")
 def tail_cutoff(spark, d):
-    return K.tail_cut(dump(spark, d)).select("id", "created_utc")
+    return K.tail_cut(narrow(spark, d)).select("id", "created_utc")
 
 
 @query("root_score_gate", with_(SQL_C, SQL_F, SQL_GATE) + "SELECT link_key, root_score FROM gate")
@@ -68,7 +68,7 @@ def per_post_cap(spark, d):
 
 @query("uniform_posts", with_(SQL_C) + f"SELECT link_key FROM (SELECT DISTINCT link_key FROM c WHERE link_key IS NOT NULL) ORDER BY {sql_hash('7', 'link_key')}, link_key LIMIT 100")
 def uniform_posts(spark, d):
-    return K.post_sample(dump(spark, d), 100, "uniform", "7")
+    return K.post_sample(narrow(spark, d), 100, "uniform", "7")
 
 
 @query(
@@ -76,7 +76,7 @@ def uniform_posts(spark, d):
     with_(SQL_C) + f"SELECT link_key, size FROM (SELECT link_key, count(*) AS size FROM c WHERE link_key IS NOT NULL GROUP BY 1) ORDER BY -ln(({sql_hash('7', 'link_key')} + 0.5) / 4294967296.0) / size, link_key LIMIT 100",
 )
 def pps_sample(spark, d):
-    return S.pps_posts(dump(spark, d), 100, "7")
+    return S.pps_posts(narrow(spark, d), 100, "7")
 
 
 @query(
@@ -108,12 +108,12 @@ SQL_SPLIT = f"""posts AS (SELECT link_key, CASE WHEN row_number() OVER (ORDER BY
 
 @query("post_disjoint_split", with_(SQL_C, SQL_SPLIT) + "SELECT id, split FROM c JOIN posts USING (link_key)")
 def post_disjoint_split(spark, d):
-    return K.post_split(dump(spark, d), 0.2, "42").select("id", "split")
+    return K.post_split(narrow(spark, d), 0.2, "42").select("id", "split")
 
 
 @query("random_regime", with_(SQL_C, SQL_SPLIT) + "SELECT subreddit, split, count(*) AS n, count(DISTINCT link_key) AS posts FROM c JOIN posts USING (link_key) GROUP BY ALL")
 def random_regime(spark, d):
-    return K.post_split(dump(spark, d), 0.2, "42").groupBy("subreddit", "split").agg(F.count("*").alias("n"), F.count_distinct("link_key").alias("posts"))
+    return K.post_split(narrow(spark, d), 0.2, "42").groupBy("subreddit", "split").agg(F.count("*").alias("n"), F.count_distinct("link_key").alias("posts"))
 
 
 SQL_TEMPORAL = f"""m AS (SELECT *, {MONTH} AS month FROM c WHERE created_utc IS NOT NULL), tm AS (SELECT DISTINCT month FROM m ORDER BY month DESC LIMIT 2),
@@ -123,7 +123,7 @@ SQL_TEMPORAL = f"""m AS (SELECT *, {MONTH} AS month FROM c WHERE created_utc IS
 
 @query("temporal_split", with_(SQL_C, SQL_TEMPORAL) + "SELECT id, month, split FROM ts UNION ALL SELECT id, month, split FROM tr")
 def temporal_split(spark, d):
-    return K.temporal_split(dump(spark, d), 2).select("id", "month", "split")
+    return K.temporal_split(narrow(spark, d), 2).select("id", "month", "split")
 
 
 @query(
@@ -163,7 +163,7 @@ def balance_binary(spark, d):
     + f"SELECT id, subreddit, bucket, month FROM k ORDER BY {sql_hash('5|cut', 'id')}, id LIMIT 300",
 )
 def stratified_round_robin(spark, d):
-    rows = K.strata(with_width(dump(spark, d))).select("id", "subreddit", "bucket", "month")
+    rows = K.strata(with_width(narrow(spark, d))).select("id", "subreddit", "bucket", "month")
     return S.round_robin(staged(rows, "strata"), ["subreddit", "bucket"], "month", 300, "5", "id")
 
 
@@ -217,5 +217,5 @@ def forecast_splits(spark, d):
 
 @query("month_difference", with_(SQL_C, SQL_TEMPORAL) + "SELECT DISTINCT month FROM m EXCEPT SELECT month FROM tm")
 def month_difference(spark, d):
-    months = dump(spark, d).filter("created_utc is not null").select(F.date_format(F.timestamp_seconds("created_utc"), "yyyy-MM").alias("month")).distinct()
+    months = narrow(spark, d).filter("created_utc is not null").select(F.date_format(F.timestamp_seconds("created_utc"), "yyyy-MM").alias("month")).distinct()
     return months.exceptAll(months.orderBy(F.desc("month")).limit(2))

@@ -15,7 +15,7 @@ from threadloom.operators import knn as N
 from threadloom.operators import neural as _neural  # noqa: F401 - registers its predictors
 from threadloom.operators import predictors as B
 from threadloom.operators.sampling import first_by_hash
-from threadloom.plans.common import SQL_C, SQL_F, SQL_W, dump, sql_hash, with_
+from threadloom.plans.common import SQL_C, SQL_F, SQL_W, narrow, sql_hash, with_
 from threadloom.plans.corpus import SQL_R, once
 from threadloom.plans.trees import SQL_CH
 from threadloom.session import staged, table
@@ -39,7 +39,7 @@ _DOMAIN = f"""d AS (SELECT k.leaf_id, w.id AS stimulus_id, coalesce(w.score, 0)
 @query("domain_records", with_(SQL_C, SQL_W, SQL_F, SQL_CH, _DOMAIN) + f"SELECT leaf_id, stimulus_id, score, width, CASE WHEN row_number() OVER (ORDER BY {sql_hash('8', 'leaf_id')}, leaf_id) <= floor((SELECT count(*) FROM d) * (1 - 0.2)) THEN 'train' ELSE 'test' END AS split FROM d")
 def domain_records(spark, d):
     """Chain records of a dump (a comment can recur), split by row in hash order."""
-    c = staged(dump(spark, d), "comments")
+    c = staged(narrow(spark, d), "comments")
     rows = CH.chain_sets(c, CH.chains(c, FO.forest(c)), "8")
     marked = first_by_hash(staged(rows, "records"), None, "8", "leaf_id", 1 - 0.2)
     return marked.select("leaf_id", "stimulus_id", "score", "width", F.when(F.col("chosen"), "train").otherwise("test").alias("split"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from threadloom.operators import chains as CH
 from threadloom.operators import comments as C
 from threadloom.operators import forest as FO
-from threadloom.plans.common import SQL_C, SQL_F, SQL_W, dump, sql_hash, with_
+from threadloom.plans.common import SQL_C, SQL_F, SQL_W, dump, narrow, sql_hash, with_
 from threadloom.session import staged
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -30,27 +30,27 @@ def comments_latest(spark, d):
 
 @query("parent_lookup", with_(SQL_C) + "SELECT id, parent_key, coalesce(parent_key IN (SELECT id FROM c), false) AS has_parent FROM c")
 def parent_lookup(spark, d):
-    return C.with_parent(dump(spark, d)).select("id", "parent_key", "has_parent")
+    return C.with_parent(narrow(spark, d)).select("id", "parent_key", "has_parent")
 
 
 @query("orphan_roots", with_(SQL_C) + "SELECT id, parent_key FROM c WHERE parent_id LIKE 't1\\_%' ESCAPE '\\' AND parent_key NOT IN (SELECT id FROM c)")
 def orphan_roots(spark, d):
-    return C.orphans(dump(spark, d)).select("id", "parent_key")
+    return C.orphans(narrow(spark, d)).select("id", "parent_key")
 
 
 @query("width_counts", with_(SQL_C, SQL_W) + "SELECT id, width FROM w")
 def width_counts(spark, d):
-    return C.with_width(dump(spark, d)).select("id", "width")
+    return C.with_width(narrow(spark, d)).select("id", "width")
 
 
 @query("forest_depth", with_(SQL_C, SQL_F) + "SELECT id, root_id, CAST(depth AS INTEGER) AS depth FROM f")
 def forest_depth(spark, d):
-    return FO.forest(dump(spark, d)).select("id", "root_id", "depth")
+    return FO.forest(narrow(spark, d)).select("id", "root_id", "depth")
 
 
 @query("tree_heights", with_(SQL_C, SQL_F) + "SELECT root_id, CAST(max(depth) AS INTEGER) AS height, count(*) AS size FROM f GROUP BY root_id")
 def tree_heights(spark, d):
-    return FO.heights(FO.forest(dump(spark, d)))
+    return FO.heights(FO.forest(narrow(spark, d)))
 
 
 _CTX = "list_transform(list_slice(path, greatest(len(path) - 65, 1), len(path) - 1), lambda p: split_part(p, ':', 2))"
@@ -58,7 +58,7 @@ _CTX = "list_transform(list_slice(path, greatest(len(path) - 65, 1), len(path) -
 
 @query("ancestors_context", with_(SQL_C, SQL_F) + f"SELECT id, array_to_string({_CTX}, '>') AS context FROM f WHERE depth > 0")
 def ancestors_context(spark, d):
-    return FO.context_ids(FO.forest(dump(spark, d))).filter("depth > 0").select("id", F.array_join("context", ">").alias("context"))
+    return FO.context_ids(FO.forest(narrow(spark, d))).filter("depth > 0").select("id", F.array_join("context", ">").alias("context"))
 
 
 SQL_CH = """leaf AS (SELECT f.*, split_part(path[2], ':', 2) AS branch, len(path) AS length FROM f
@@ -67,7 +67,7 @@ SQL_CH = """leaf AS (SELECT f.*, split_part(path[2], ':', 2) AS branch, len(path
 
 
 def _chains(spark, d):
-    c = staged(dump(spark, d), "comments")
+    c = staged(narrow(spark, d), "comments")
     return c, CH.chains(c, FO.forest(c))
 
 
