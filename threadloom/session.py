@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import io
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _STAGED: list[tuple[SparkSession, str]] = []
+_SHIPPED: set[str] = set()
 
 
 def local_session(cpus: str | int = "*", partitions: int = 8, app: str = "threadloom") -> SparkSession:
@@ -54,14 +57,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/threadloom-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
+    _dropped_at_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _dropped_at_exit(spark: SparkSession, path: str) -> None:
     if not _STAGED:
         atexit.register(drop_staged)
     _STAGED.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_staged() -> None:
-    """Delete every table written by :func:`staged` in this process."""
+    """Delete every folder that this process wrote to the shared folder."""
     while _STAGED:
         spark, path = _STAGED.pop()
         try:
@@ -72,8 +79,30 @@ def drop_staged() -> None:
             continue
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package to the Python workers, once per application, from the shared folder: they need no installed copy."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    folder = f"{shared_dir(spark).rstrip('/')}/threadloom-{uuid.uuid4().hex}"
+    jvm = sc._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{root.name}.zip")
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    sc.addPyFile(path.toString())
+    _dropped_at_exit(spark, path.toString())
+    _SHIPPED.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one Parquet table of a data folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
