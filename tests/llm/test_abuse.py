@@ -41,3 +41,17 @@ def test_cases(text):
 @pytest.mark.parametrize("text", ["I was the idiot who forgot the tickets", "Damn, the soup was good.", "Fuck yeah, the trains run again.", "The play about bastard heirs was fully booked.", "The orchard suffered from parasites.", "They killed the bill in committee", ""])
 def test_no_cases(text):
     assert score_plain(text) < 0.5
+
+
+@pytest.mark.parametrize("written, meant", [("i d 1 0 t", "idiot"), ("i.d.1.0.t", "idiot"), ("1 d 1 0 t", "idiot"), ("id-iot", "idiot"), ("mo ron", "moron"), ("idiioot", "idiot"), ("id 1ot", "idiot")])
+def test_restores_pieces_with_symbols_and_doubled_letters(decoder, written, meant):
+    assert decoder.restore(f"you are a {written}!") == f"you are a {meant}!"
+
+
+@pytest.mark.parametrize("text", ["you put a book down", "to add to it", "to all who are there", "at 1 0 or 5 5", "the class is good", "you as such are in it"])
+def test_leaves_words_beside_each_other(decoder, text):
+    grams = Counter(decoder.model.top)
+    for w in ("put", "add"):
+        for g in word_grams(w):
+            grams[g] += 5
+    assert Decoder(grams).restore(text) == text

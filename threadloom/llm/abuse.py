@@ -50,10 +50,17 @@ OTHER = "fuck fucking shit cock dick pussy tits cum nudes naked horny porn ass b
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l"}
 
 LEXICON = sorted({w for x in STRONG + WEAK + OTHER + PHRASES for w in x.split()})
-STOP = {"a", "i", "an", "you", "such", "the", "what", "of"}
+#: Words that are looked for in pieces.
+PIECED = frozenset(w for w in STRONG + WEAK + OTHER if len(w) >= 4)
 
 MASKED = re.compile(r"[A-Za-z0-9@$!|+*€£]{2,24}")
 SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_](?:[ .\-_·]{1,4}|\*)){2,}[^\W\d_](?![^\W_])")
+#: Pieces of words, and what may stand between the pieces of one word.
+PIECE = re.compile(r"(?:[^\W_]|[@$!|+€£])*(?:[^\W_]|[@$€£])")
+GAP = re.compile(r"[ .\-_·]{1,4}|\*")
+#: Log probability of a separator inside a word, of a space between pieces of several letters, of a letter written twice, and of a symbol that stands for itself.
+APART, SPACE, TWICE, ODD = -3.0, -7.0, -2.0, -4.0
+DOUBLED = re.compile(r"([^\W\d_])\1")
 REPEATED = re.compile(r"([^\W\d_])\1\1")
 NO_STAR = ".,;:?\"'()[]{}<>_~^`-"
 #: Marks a token of one letter, which may be part of a spaced word.
@@ -114,7 +121,72 @@ class Decoder:
             for c in w:
                 at = at.setdefault(c, {})
             at["$"] = w
+        self.pieced: dict = {}
+        for w in PIECED:
+            at = self.pieced
+            for c in w:
+                at = at.setdefault(c, {})
+            at["$"] = w
         self.memo: dict[str, str] = {}
+        self.begun: dict[str, list[tuple[float, dict, str]]] = {}
+
+    def spelled(self, word: str) -> float:
+        """Log probability of a word as the character model spells it; a symbol costs ``ODD``."""
+        ctx, lp = "^^", self.free
+        for c in word:
+            if c in ALPHABET:
+                lp += self.model.logp(ctx, c)
+                ctx = ctx[1:] + c
+            else:
+                lp += ODD
+        return lp + self.model.logp(ctx, "$")
+
+    @staticmethod
+    def walk(states: list[tuple[float, dict, str]], piece: str) -> list[tuple[float, dict, str]]:
+        """``(cost, place in the tree of words, last letter)`` after the readings of a piece; a letter may repeat the one before."""
+        for c in piece:
+            nxt: dict[tuple[int, str], tuple[float, dict, str]] = {}
+            for lp, at, last in states:
+                for x in LEET.get(c, c):
+                    v = lp - (c in LEET)
+                    for y in ([(v, at[x], x)] if x in at and x != "$" else []) + ([(v + TWICE, at, x)] if x == last else []):
+                        k = (id(y[1]), x)
+                        if k not in nxt or nxt[k][0] < y[0]:
+                            nxt[k] = y
+            states = list(nxt.values())
+            if not states:
+                break
+        return states
+
+    def joined(self, text: str) -> str:
+        """Put words together whose pieces stand apart, and undo doubled letters, where that is the more probable reading."""
+        pieces = [(m.start(), m.end(), m.group(0).lower()) for m in PIECE.finditer(text)]
+        out, done, i = [], 0, 0
+        while i < len(pieces):
+            first = pieces[i][2]
+            states = self.begun.get(first)
+            if states is None:
+                if len(self.begun) > 300_000:
+                    self.begun.clear()
+                states = self.begun[first] = self.walk([(0.0, self.pieced, "")], first)
+            best, plain_lp, j = (0.0, 0, ""), 0.0, i
+            while states:
+                plain_lp += self.spelled(pieces[j][2])
+                ends = [(lp + self.words[at["$"]], at["$"]) for lp, at, _ in states if "$" in at]
+                if ends and (j > i or DOUBLED.search(first)):
+                    lp, w = max(ends)
+                    if lp - plain_lp > best[0] and w != first:
+                        best = (lp - plain_lp, j, w)
+                j += 1
+                if j == len(pieces) or not GAP.fullmatch(text, pieces[j - 1][1], pieces[j][0]):
+                    break
+                gap = SPACE if text[pieces[j - 1][1] : pieces[j][0]].isspace() and len(pieces[j - 1][2]) + len(pieces[j][2]) > 2 else APART
+                states = self.walk([(lp + gap, at, "") for lp, at, _ in states], pieces[j][2])
+            if best[2]:
+                out += [text[done : pieces[i][0]], best[2]]
+                done, i = pieces[best[1]][1], best[1]
+            i += 1
+        return "".join(out) + text[done:] if out else text
 
     @staticmethod
     def lattice(token: str) -> list[list[tuple[str, float]]]:
@@ -172,15 +244,14 @@ class Decoder:
         return best[1]
 
     def segment(self, letters: str) -> str:
-        """Words of joined single letters: lexicon words, short function words, else the letters themselves."""
+        """Most probable words of joined single letters, from the lexicon or spelled by the character model; without a lexicon word the letters themselves."""
         best: list[tuple[float, str]] = [(0.0, "")]
         for i in range(1, len(letters) + 1):
             options = []
             for j in range(max(0, i - 14), i):
                 w = letters[j:i]
-                if w in self.words or w in STOP or i - j == 1:
-                    cost = self.words.get(w, -8.0 if w in STOP else -12.0)
-                    options.append((best[j][0] + cost, f"{best[j][1]} {w}".strip()))
+                cost = max(self.words.get(w, -math.inf), self.spelled(w))
+                options.append((best[j][0] + cost, f"{best[j][1]} {w}".strip()))
             best.append(max(options))
         found = best[-1][1]
         return found if any(w in self.words for w in found.split()) else letters
@@ -215,7 +286,7 @@ class Decoder:
 
     def restore(self, text: str) -> str:
         """The most probable intended text."""
-        t = plain(text)
+        t = self.joined(plain(text))
         memo, changed, runs = self.memo, {}, 0
         for s in set(t.split()):
             if s not in memo:
