@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 
+from threadloom.llm import abuse
 from threadloom.llm.abuse import Decoder, score_plain, word_grams
 
 
@@ -55,3 +56,38 @@ def test_leaves_words_beside_each_other(decoder, text):
         for g in word_grams(w):
             grams[g] += 5
     assert Decoder(grams).restore(text) == text
+
+
+def examples(seq):
+    """Strings that together take every alternative of a parsed pattern."""
+    parts = []
+    for op, av in seq:
+        name = str(op)
+        if name == "LITERAL":
+            parts.append([chr(av)])
+        elif name == "BRANCH":
+            parts.append([x for b in av[1] for x in examples(b)])
+        elif name == "SUBPATTERN":
+            parts.append(examples(av[3]))
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            parts.append(([""] if av[0] == 0 else []) + [x * max(1, av[0]) for x in examples(av[2])])
+        elif name == "IN":
+            parts.append([chr(v) if str(o) == "LITERAL" else "x" if str(v) == "CATEGORY_WORD" else " " for o, v in av])
+        elif name == "ANY":
+            parts.append([" "])
+    return ["".join(p[k % len(p)] for p in parts) for k in range(max(map(len, parts), default=1))]
+
+
+@pytest.mark.parametrize("n", range(len(abuse.PATTERNS)))
+def test_gate_passes_every_alternative(n, monkeypatch):
+    texts = examples(abuse._parser.parse(abuse.PATTERNS[n].pattern))
+    assert any(abuse.PATTERNS[n].search(t.lower()) for t in texts)
+    gated = [score_plain(t) for t in texts]
+    monkeypatch.setattr(abuse, "TRIGGERS", {"": list(range(len(abuse.PATTERNS)))})
+    monkeypatch.setattr(abuse, "_RULES_OF", {})
+    assert gated == [score_plain(t) for t in texts]
+
+
+@pytest.mark.parametrize("text", ["give him a blow job", "a hand job", "their gang bang", "jack off", "they are sub-human", "show me your ass", "curse you", "je vais te frapper", "je vais te crever", "qu'on les brûle", "qu'on les tue", "follarme", "follarla"])
+def test_wordings_without_other_trigger(text):
+    assert score_plain(text) >= 0.5

@@ -19,6 +19,7 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from re import _parser
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -311,58 +312,79 @@ class Decoder:
 _INS = "(?:" + "|".join(sorted({*PHRASES, *STRONG}, key=len, reverse=True)) + ")(?:e?s|en|er|e)?"
 _SOFT = "(?:" + "|".join(sorted({*PHRASES, *STRONG, *WEAK}, key=len, reverse=True)) + ")(?:e?s)?"
 _SELF = re.compile(r"\b(?:i was|i am|i'm|i felt like|i feel like|call me|my own|ich bin|ich war|je suis|j'étais|soy|fui|am i)\b(?:\W+\w+){0,3}\W+" + _SOFT)
-#: Each rule is tried only on sentences that hold one of its trigger words; "LEX" and "STRONG" stand for those lists.
-_RULES: list[tuple[str, str]] = [
+_RULES: list[str] = [
     # aimed insults
-    ("STRONG", r"\b(?:you|your|you're|ur|u|op|op's|yourself|yourselves)\b.{0,90}?\b" + _INS + r"\b"),
-    ("STRONG", r"\b" + _INS + r"\b.{0,40}?\b(?:you|your|you're|yourself|u)\b"),
-    ("LEX", r"\b(?:poster|shut up|stfu|gtfo|gene pool|hey|typical|fuck off|screw|somebody take the keyboard away from)\b.{0,70}?\b" + _SOFT + r"\b"),
-    ("STRONG", r"\b(?:such a|what a|only a|being this big a|this|that|these|those|another|you|bunch of|fucking|bloody)\s+(?:\w+\s+){0,2}?" + _INS + r"\b"),
-    ("LEX", r"\b(?:you|you're|ur|your|op|op's|poster)\b(?:\W+\w+){0,9}?\W+(?:such\s+)?(?:an?|biggest|little|absolute|complete|total|pathetic|worthless|spineless|stupid|filthy|lying|as an?)\s+(?:\w+\s+){0,2}?" + _SOFT + r"\b"),
-    ("LEX", r"\b" + _SOFT + r"\s+(?:like you|you are)\b"),
-    ("nobody smarter cave dumber cells sick", r"\b(?:nobody asked you|smarter than you|makes this board dumber|two brain cells|you make me sick|back to your (?:cave|hole|swamp))\b"),
-    ("brain gene crawl account", r"\b(?:one brain and it is not your turn|gene pool needs|crawl back under|delete your account you)\b"),
-    ("🖕", r"🖕"),
-    ("screw fuck damn hell eat kiss", r"\b(?:screw|fuck|damn|curse) (?:you|off|yourself)\b|\bgo to hell\b|\beat shit\b|\bkiss my ass\b"),
+    r"\b(?:you|your|you're|ur|u|op|op's|yourself|yourselves)\b.{0,90}?\b" + _INS + r"\b",
+    r"\b" + _INS + r"\b.{0,40}?\b(?:you|your|you're|yourself|u)\b",
+    r"\b(?:poster|shut up|stfu|gtfo|gene pool|hey|typical|fuck off|screw|somebody take the keyboard away from)\b.{0,70}?\b" + _SOFT + r"\b",
+    r"\b(?:such a|what a|only a|being this big a|this|that|these|those|another|you|bunch of|fucking|bloody)\s+(?:\w+\s+){0,2}?" + _INS + r"\b",
+    r"\b(?:you|you're|ur|your|op|op's|poster)\b(?:\W+\w+){0,9}?\W+(?:such\s+)?(?:an?|biggest|little|absolute|complete|total|pathetic|worthless|spineless|stupid|filthy|lying|as an?)\s+(?:\w+\s+){0,2}?" + _SOFT + r"\b",
+    r"\b" + _SOFT + r"\s+(?:like you|you are)\b",
+    r"\b(?:nobody asked you|smarter than you|makes this board dumber|two brain cells|you make me sick|back to your (?:cave|hole|swamp))\b",
+    r"\b(?:one brain and it is not your turn|gene pool needs|crawl back under|delete your account you)\b",
+    r"🖕",
+    r"\b(?:screw|fuck|damn|curse) (?:you|off|yourself)\b|\bgo to hell\b|\beat shit\b|\bkiss my ass\b",
     # threats and wishes of harm
-    ("hope wish someone somebody pray", r"\b(?:hope|wish|someone should|somebody should|someone ought|pray)\b.{0,60}?\b(?:choke|die|dies|burn|breaks?|rape|rapes|kills?|shoots?|stabs?|cancer|suffer|rot|beats?|drown|hangs?|legs|teeth|neck)\b"),
-    ("beaten shot hanged hung killed raped stabbed lynched gassed burned drowned put", r"\b(?:deserve|deserves|ought|should|needs?) (?:to be )?(?:beaten|shot|hanged|hung|killed|raped|stabbed|lynched|gassed|burned|drowned|put down)\b"),
-    ("smash hurt kill beat break stab shoot find cut burn bury strangle punch", r"\bi(?:'ll| will| am going to|'m going to| would love to| want to)\b.{0,30}?\b(?:smash|hurt|kill|beat|break|stab|shoot|find|cut|burn|bury|strangle|punch)\b\s+(?:you|your|u|them|him|her|every)\b"),
-    ("smash break kick knock slit cut", r"\b(?:smash your|break your|kick your|knock your|slit your|cut your)\s+\w+"),
-    ("burn watch bullet bat live hangs know pay bleed dead next", r"\bburn your house\b|\bwatch your back\b|\bget a bullet\b|\bbullet (?:one day|in your|for you)|\bbaseball bat\b|\byou won't live to see\b|\byour kind hangs\b|\bi know where you live\b|\byou will (?:pay for this|bleed|die|hang)\b|\byou are (?:dead|next)\b"),
-    ("kys kill hang bleach jump gone favour favor neck end", r"\b(?:kys|kill yourself|hang yourself|drink bleach|jump off the pier|jump off a|nobody would notice if you were gone|do the world a favou?r|neck yourself|end your life)\b"),
+    r"\b(?:hope|wish|someone should|somebody should|someone ought|pray)\b.{0,60}?\b(?:choke|die|dies|burn|breaks?|rape|rapes|kills?|shoots?|stabs?|cancer|suffer|rot|beats?|drown|hangs?|legs|teeth|neck)\b",
+    r"\b(?:deserve|deserves|ought|should|needs?) (?:to be )?(?:beaten|shot|hanged|hung|killed|raped|stabbed|lynched|gassed|burned|drowned|put down)\b",
+    r"\bi(?:'ll| will| am going to|'m going to| would love to| want to)\b.{0,30}?\b(?:smash|hurt|kill|beat|break|stab|shoot|find|cut|burn|bury|strangle|punch)\b\s+(?:you|your|u|them|him|her|every)\b",
+    r"\b(?:smash your|break your|kick your|knock your|slit your|cut your)\s+\w+",
+    r"\bburn your house\b|\bwatch your back\b|\bget a bullet\b|\bbullet (?:one day|in your|for you)|\bbaseball bat\b|\byou won't live to see\b|\byour kind hangs\b|\bi know where you live\b|\byou will (?:pay for this|bleed|die|hang)\b|\byou are (?:dead|next)\b",
+    r"\b(?:kys|kill yourself|hang yourself|drink bleach|jump off the pier|jump off a|nobody would notice if you were gone|do the world a favou?r|neck yourself|end your life)\b",
     # degrading groups
-    ("vermin subhuman cockroaches animals disease plague parasites filth scum savages rats inferior thieves criminals", r"\b(?:are|is)\b.{0,25}?\b(?:vermin|subhuman|sub-human|cockroaches|animals|a disease|a plague|parasites|filth|scum|savages|rats|inferior|born thieves|born criminals)\b"),
-    ("cages driven breed sterilised sterilized exterminated deported wiped gassed good boxes boat honest smell filthy clean starve cure outnumber school", r"\b(?:belongs? in cages|should be driven out|breed like|should be (?:sterili[sz]ed|exterminated|deported|wiped out|gassed)|only good .{1,40}? (?:are|is)(?: a)? dead|back in boxes|sink the boat|honest day of work|smell .{1,40}? before you see|filthy lot|clean this (?:country|town|city) of|starve, fewer mouths|this town needs the cure|outnumber us|near a school, they are)\b"),
+    r"\b(?:are|is)\b.{0,25}?\b(?:vermin|subhuman|sub-human|cockroaches|animals|a disease|a plague|parasites|filth|scum|savages|rats|inferior|born thieves|born criminals)\b",
+    r"\b(?:belongs? in cages|should be driven out|breed like|should be (?:sterili[sz]ed|exterminated|deported|wiped out|gassed)|only good .{1,40}? (?:are|is)(?: a)? dead|back in boxes|sink the boat|honest day of work|smell .{1,40}? before you see|filthy lot|clean this (?:country|town|city) of|starve, fewer mouths|this town needs the cure|outnumber us|near a school, they are)\b",
     # sexually explicit
-    ("cock dick pussy balls bite queue polla verga schwanz", r"\b(?:suck(?:ing)?|lick|ride|stroke|chup\w+|suce\w*|lutsch\w*|blas\w*)\b.{0,20}?\b(?:cock|dick|pussy|balls|bite|queue|polla|verga|schwanz)\b"),
-    ("pussy naked horny nudes dick jerk jerks jerking jerked jacks jacking rub cum blowjob handjob gangbang creampie threesome anal", r"\b(?:wet|tight|shaved)\s+pussy\b|\b(?:hot )?naked (?:singles|girls|teens|women|boys)\b|\b(?:so |really )?horny\b|\bnudes\b|\bdick pics?\b|\bjerk(?:s|ing|ed)? off\b|\bjack(?:s|ing)? off\b|\brub one out\b|\bhis cum\b|\bcum (?:on|in|all)\b|\bblow ?job\b|\bhand ?job\b|\bgang ?bang\b|\bcreampie\b|\bthreesome\b|\banal\b"),
-    ("spreading spread tits boobs wet hard bend pound raw fuck finger fingered", r"\bspreading her legs\b|\bspread (?:your|her) legs\b|\bshow (?:us|me) your (?:tits|boobs|ass|pussy)\b|\bmade me so (?:hard|wet)\b|\bbend\b.{0,30}?\bover\b.{0,30}?\b(?:pound|fuck|ass)\b|\bpound (?:her|his|your|that)\b|\bfuck (?:that|her|him|you|the|his|your)\b.{0,40}?\b(?:raw|hard|all night|desk|bed|mouth|ass)\b|\bwant to fuck\b|\bfingered?\b.{0,20}?\bpussy\b"),
+    r"\b(?:suck(?:ing)?|lick|ride|stroke|chup\w+|suce\w*|lutsch\w*|blas\w*)\b.{0,20}?\b(?:cock|dick|pussy|balls|bite|queue|polla|verga|schwanz)\b",
+    r"\b(?:wet|tight|shaved)\s+pussy\b|\b(?:hot )?naked (?:singles|girls|teens|women|boys)\b|\b(?:so |really )?horny\b|\bnudes\b|\bdick pics?\b|\bjerk(?:s|ing|ed)? off\b|\bjack(?:s|ing)? off\b|\brub one out\b|\bhis cum\b|\bcum (?:on|in|all)\b|\bblow ?job\b|\bhand ?job\b|\bgang ?bang\b|\bcreampie\b|\bthreesome\b|\banal\b",
+    r"\bspreading her legs\b|\bspread (?:your|her) legs\b|\bshow (?:us|me) your (?:tits|boobs|ass|pussy)\b|\bmade me so (?:hard|wet)\b|\bbend\b.{0,30}?\bover\b.{0,30}?\b(?:pound|fuck|ass)\b|\bpound (?:her|his|your|that)\b|\bfuck (?:that|her|him|you|the|his|your)\b.{0,40}?\b(?:raw|hard|all night|desk|bed|mouth|ass)\b|\bwant to fuck\b|\bfingered?\b.{0,20}?\bpussy\b",
     # other languages
-    ("halt verpiss verreck verrecke ungeziefer abschaum weggesperrt vergast erschossen abgeschoben wand schlägt zähne leck fick bring häng blas titten untermenschen", r"\bhalt (?:die|deine?) (?:fresse|maul|klappe)\b|\bverpiss dich\b|\bverreck\w*\b|\babschaum\b|\bungeziefer\b|\buntermenschen\b|\bgehören? (?:weggesperrt|vergast|erschossen|abgeschoben|an die wand)\b|\bschlägt jemand\b|\bzähne ein\b|\bleck mich\b|\bfick dich\b|\bbring dich um\b|\bhäng dich auf\b|\bblas mir\b|\btitten\b"),
-    ("tiere ratten parasiten dreck STRONG", r"\b(?:solche leute|diese leute|das|die) sind (?:tiere|dreck|ratten|parasiten)\b|\bdu\b.{0,40}?\b" + _INS + r"\b"),
-    ("gueule foutre faire espèce sale vermine chasse pende crève sucer bite nique tuer casser poil baiser montre j'espère espère STRONG", r"\bta gueule\b|\bva te faire\b|\bespèce de (?:\w+ )?(?:débile|con|conne|abruti|crétin|merde|salaud|salope|porc|ordure|imbécile|idiot)\w*|\bt(?:u es|'es)\b.{0,40}?\b(?:" + _INS + r"|une? sale)\b|\bsale (?:ordure|pute|chien|porc|race|con|conne)\b|\bde la vermine\b|\bqu'on les (?:chasse|pende|tue|brûle)\b|\bcrève\b|\bsucer\b.{0,15}?\bbite\b|\bnique ta\b|\bje vais te (?:tuer|casser|crever|frapper)\b|\bj'espère (?:que|qu')\b.{0,60}?\b(?:casse|crève|brûle|frappe|jambes|dents|meur)\w*|\bà poil\b|\bbaiser (?:ta|cette|sa)\b|\bmontre(?:-nous)? tes (?:seins|nichons)\b"),
-    ("cállate callate mierda eres gente escoria ojalá rompan chuparme echarlos matar romper partir pegar muérete jodan follar follarte jódete tetas", r"\bc[áa]llate\b|\bvete a la mierda\b|\beres\b.{0,40}?\b" + _INS + r"\b|\bescoria\b|\bojalá te\b|\brompan las piernas\b|\bchuparme\b|\bhabría que echarlos\b|\bte voy a (?:matar|romper|partir|pegar)\b|\bmuérete\b|\bque te jodan\b|\bfollar(?:te|la|me)?\b|\bjódete\b|\bens[eé]ñanos las tetas\b"),
+    r"\bhalt (?:die|deine?) (?:fresse|maul|klappe)\b|\bverpiss dich\b|\bverreck\w*\b|\babschaum\b|\bungeziefer\b|\buntermenschen\b|\bgehören? (?:weggesperrt|vergast|erschossen|abgeschoben|an die wand)\b|\bschlägt jemand\b|\bzähne ein\b|\bleck mich\b|\bfick dich\b|\bbring dich um\b|\bhäng dich auf\b|\bblas mir\b|\btitten\b",
+    r"\b(?:solche leute|diese leute|das|die) sind (?:tiere|dreck|ratten|parasiten)\b|\bdu\b.{0,40}?\b" + _INS + r"\b",
+    r"\bta gueule\b|\bva te faire\b|\bespèce de (?:\w+ )?(?:débile|con|conne|abruti|crétin|merde|salaud|salope|porc|ordure|imbécile|idiot)\w*|\bt(?:u es|'es)\b.{0,40}?\b(?:" + _INS + r"|une? sale)\b|\bsale (?:ordure|pute|chien|porc|race|con|conne)\b|\bde la vermine\b|\bqu'on les (?:chasse|pende|tue|brûle)\b|\bcrève\b|\bsucer\b.{0,15}?\bbite\b|\bnique ta\b|\bje vais te (?:tuer|casser|crever|frapper)\b|\bj'espère (?:que|qu')\b.{0,60}?\b(?:casse|crève|brûle|frappe|jambes|dents|meur)\w*|\bà poil\b|\bbaiser (?:ta|cette|sa)\b|\bmontre(?:-nous)? tes (?:seins|nichons)\b",
+    r"\bc[áa]llate\b|\bvete a la mierda\b|\beres\b.{0,40}?\b" + _INS + r"\b|\bescoria\b|\bojalá te\b|\brompan las piernas\b|\bchuparme\b|\bhabría que echarlos\b|\bte voy a (?:matar|romper|partir|pegar)\b|\bmuérete\b|\bque te jodan\b|\bfollar(?:te|la|me)?\b|\bjódete\b|\bens[eé]ñanos las tetas\b",
     # strong words without a harmless homograph need no aim
-    ("arschloch vollidiot wichser hurensohn fotze missgeburt connard connasse enculé salope gilipollas hijo fils dumb dumbfuck motherfucker piece dipshit fuckwit dickhead cunt faggot", r"\b(?:arschloch|vollidiot|wichser|hurensohn|fotze|missgeburt|connard|connasse|enculé|salope|gilipollas|hijo de puta|fils de pute|dumb fuck|dumbfuck|motherfucker|piece of shit|dipshit|fuckwit|dickhead|cunt|faggot)s?\b"),
+    r"\b(?:arschloch|vollidiot|wichser|hurensohn|fotze|missgeburt|connard|connasse|enculé|salope|gilipollas|hijo de puta|fils de pute|dumb fuck|dumbfuck|motherfucker|piece of shit|dipshit|fuckwit|dickhead|cunt|faggot)s?\b",
 ]
-_WORDS = re.compile(r"\w+|🖕")
+def _triggers(seq) -> frozenset[str] | None:
+    """Strings without spaces of which every match of a parsed pattern holds one, as long as can be had; None where there are none."""
+    found: list[frozenset[str] | None] = []
+    run = ""
+    for op, av in [*seq, (None, None)]:
+        if op is _parser.LITERAL:
+            run += chr(av)
+            continue
+        if run.strip():
+            found.append(frozenset([max(run.split(), key=len)]))
+        run = ""
+        if op is _parser.SUBPATTERN:
+            found.append(_triggers(av[3]))
+        elif op is _parser.BRANCH:
+            each = [_triggers(x) for x in av[1]]
+            found.append(frozenset().union(*each) if all(each) else None)
+        elif op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT) and av[0]:
+            found.append(_triggers(av[2]))
+    return max((x for x in found if x), key=lambda x: (min(map(len, x)), -len(x)), default=None)
+
+
+PATTERNS = [re.compile(p) for p in _RULES]
+#: Trigger string to the numbers of its rules; a rule is tried only on sentences that hold one of its strings.
+TRIGGERS: dict[str, list[int]] = defaultdict(list)
+for _n, _p in enumerate(_RULES):
+    for _t in _triggers(_parser.parse(_p)) or ("",):
+        TRIGGERS[_t].append(_n)
+_RULES_OF: dict[str, frozenset[int]] = {}
 
 
-def _forms(words: list[str]) -> set[str]:
-    return {f for w in words for f in (w, w + "s", w + "es", w + "e", w + "en", w + "er")}
+def rules_of(token: str) -> frozenset[int]:
+    """Rules of which a token without spaces holds a trigger."""
+    if token not in _RULES_OF:
+        if len(_RULES_OF) > 300_000:
+            _RULES_OF.clear()
+        _RULES_OF[token] = frozenset(n for t, rules in TRIGGERS.items() if t in token for n in rules)
+    return _RULES_OF[token]
 
 
-_STRONG_FORMS = _forms([*STRONG, "fuck", "shit", "waste", "sack", "puta", "pute"])
-_LEX_FORMS = _STRONG_FORMS | _forms(WEAK)
-#: Trigger word to the numbers of its rules.
-TRIGGERS: dict[str, list[int]] = defaultdict(list)
-for _n, (_words, _) in enumerate(_RULES):
-    for _w in _words.split():
-        for _f in _STRONG_FORMS if _w == "STRONG" else _LEX_FORMS if _w == "LEX" else (_w,):
-            TRIGGERS[_f].append(_n)
-PATTERNS = [re.compile(p) for _, p in _RULES]
-_KEYS = frozenset(TRIGGERS)
 _SPLIT = re.compile(r"[.!?]+(?:\s|$)|\n+")
 #: Evidence that one matching rule adds; the score is 1 - exp(-evidence).
 WEIGHT = 3.0
@@ -371,15 +393,14 @@ WEIGHT = 3.0
 def score_plain(text: str) -> float:
     """Score of a restored text: 1 - exp(-evidence) of its worst sentence."""
     low = text.lower()
-    if _KEYS.isdisjoint(_WORDS.findall(low)):
-        return 0.0
     most = 0.0
     for s in _SPLIT.split(low):
-        hit = _KEYS.intersection(_WORDS.findall(s))
-        if not hit:
+        tokens = s.split()
+        rules = frozenset().union(*map(rules_of, tokens))
+        if not rules:
             continue
-        s = " ".join(s.split())
-        w = WEIGHT * sum(1 for n in {n for h in hit for n in TRIGGERS[h]} if PATTERNS[n].search(s))
+        s = " ".join(tokens)
+        w = WEIGHT * sum(1 for n in rules if PATTERNS[n].search(s))
         if w and _SELF.search(s) and not re.search(r"\byou\b|\byour\b", s):
             w *= 0.05
         most = max(most, w)
