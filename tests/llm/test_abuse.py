@@ -91,3 +91,8 @@ def test_gate_passes_every_alternative(n, monkeypatch):
 @pytest.mark.parametrize("text", ["give him a blow job", "a hand job", "their gang bang", "jack off", "they are sub-human", "show me your ass", "curse you", "je vais te frapper", "je vais te crever", "qu'on les brûle", "qu'on les tue", "follarme", "follarla"])
 def test_wordings_without_other_trigger(text):
     assert score_plain(text) >= 0.5
+
+
+@pytest.mark.parametrize("written, meant", [("enc*lé", "enculé"), ("déb1le", "débile"), ("cr3tín", "cretin"), ("imb3cíl", "imbécil"), ("id1" + "o" * 200 + "t", "idiot"), ("ENC*LÉ", "enculé")])
+def test_restores_accented_and_long_masks(decoder, written, meant):
+    assert decoder.restore(f"you are a {written}") == f"you are a {meant}"

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from re import _parser
@@ -50,11 +51,15 @@ OTHER = "fuck fucking shit cock dick pussy tits cum nudes naked horny porn ass b
 # How single characters stand for letters.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l"}
 
+#: Letters without and with their accents.
+BARE = {c: b for c in ALPHABET if (b := unicodedata.normalize("NFD", c)[0]) != c}
+ACCENTED = {b: "".join(c for c in BARE if BARE[c] == b) for b in BARE.values()}
+
 LEXICON = sorted({w for x in STRONG + WEAK + OTHER + PHRASES for w in x.split()})
 #: Words that are looked for in pieces.
 PIECED = frozenset(w for w in STRONG + WEAK + OTHER if len(w) >= 4)
 
-MASKED = re.compile(r"[A-Za-z0-9@$!|+*€£]{2,24}")
+MASKED = re.compile(rf"[{ALPHABET}{ALPHABET.replace('ß', 'ẞ').upper()}0-9@$!|+*€£]{{2,}}")
 SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_](?:[ .\-_·]{1,4}|\*)){2,}[^\W\d_](?![^\W_])")
 #: Pieces of words, and what may stand between the pieces of one word.
 PIECE = re.compile(r"(?:[^\W_]|[@$!|+€£])*(?:[^\W_]|[@$€£])")
@@ -202,7 +207,9 @@ class Decoder:
             if c == "*":
                 out += [[("?", -3.3)]] * (j - i)
             elif c in LEET:
-                out += [[(x, -1.0) for x in LEET[c]]] * (j - i)
+                out += [[(x, -1.0) for x in LEET[c]] + [(y, -2.0) for x in LEET[c] for y in ACCENTED.get(x, "")]] * (j - i)
+            elif c in BARE and j - i < 3:
+                out += [[(c, 0.0), (BARE[c], -1.0)]] * (j - i)
             elif j - i >= 3:
                 out += [[(c, -0.1)], [(c, -0.7), ("", -0.7)]]
             else:
@@ -237,7 +244,11 @@ class Decoder:
                         moved += [(lp + cost, at[x]) for x in at if x != "$"]
                     elif c in at:
                         moved.append((lp + cost, at[c]))
-            listed = moved
+            kept: dict[int, tuple[float, dict]] = {}
+            for lp, at in moved:
+                if id(at) not in kept or kept[id(at)][0] < lp:
+                    kept[id(at)] = (lp, at)
+            listed = list(kept.values())
         best = max(((lp + self.model.logp(ctx, "$"), w) for ctx, (lp, w) in spelled.items()), default=(-1e9, token.lower()))
         for lp, at in listed:
             if "$" in at and lp + self.words[at["$"]] > best[0]:
