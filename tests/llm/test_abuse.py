@@ -72,7 +72,7 @@ def examples(seq):
         elif name in ("MAX_REPEAT", "MIN_REPEAT"):
             parts.append(([""] if av[0] == 0 else []) + [x * max(1, av[0]) for x in examples(av[2])])
         elif name == "IN":
-            parts.append([chr(v) if str(o) == "LITERAL" else "x" if str(v) == "CATEGORY_WORD" else " " for o, v in av])
+            parts.append([chr(v) if str(o) == "LITERAL" else {"CATEGORY_WORD": "x", "CATEGORY_DIGIT": "0", "CATEGORY_NOT_SPACE": "x"}.get(str(v), " ") for o, v in av])
         elif name == "ANY":
             parts.append([" "])
     return ["".join(p[k % len(p)] for p in parts) for k in range(max(map(len, parts), default=1))]

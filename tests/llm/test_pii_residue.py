@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 
 from tests.llm.helpers import record, records
+from tests.llm.test_abuse import examples
 from threadloom.llm import pii, residue
 
 CASES = [
@@ -52,3 +53,19 @@ def test_labels_spread_to_near_duplicates(spark):
     rows = [record(1, seed), record(2, near), record(3, "The night crew of this board is busy with other things and comes back later today")]
     got = {r["record_id"] for r in residue.found(records(spark, rows)).collect()}
     assert got == ({1, 2} if bin((int(a) ^ int(b)) & (2**64 - 1)).count("1") <= residue.HAMMING else {1})
+
+
+@pytest.mark.parametrize("s", ["placeholder " * 31, "test " * 500, "foo foo foo", "Uncaught TypeError: cannot read properties of undefined", "Uncaught ReferenceError: x is not defined"])
+def test_trusted_at_every_length(s):
+    assert residue.trusted(s) == 1
+
+
+@pytest.mark.parametrize("s", ["No no no!", "ha ha ha", "la la la la"])
+def test_speech_is_no_filler(s):
+    assert residue.trusted(s) <= 0
+
+
+@pytest.mark.parametrize("pattern", residue.MESSAGE)
+def test_gate_passes_every_message(pattern):
+    texts = [t for t in examples(residue.re._parser.parse(pattern)) if residue._MESSAGE.match(t)]
+    assert texts and all(not residue.KEYS.isdisjoint(residue._LOW.findall(t)) for t in texts)
