@@ -69,3 +69,9 @@ def test_speech_is_no_filler(s):
 def test_gate_passes_every_message(pattern):
     texts = [t for t in examples(residue.re._parser.parse(pattern)) if residue._MESSAGE.match(t)]
     assert texts and all(not residue.KEYS.isdisjoint(residue._LOW.findall(t)) for t in texts)
+
+
+@pytest.mark.parametrize("address", ["Hauptstr.12", "Hauptstraße12", "Lindenweg12", "Calle Mayor nº12"])
+def test_house_number_beside_a_letter_point_or_comma(spark, address):
+    got = pii.redacted(records(spark, [record(1, f"They moved to {address} yesterday.")])).collect()
+    assert [r["redacted"] for r in got] == ["They moved to [ADDRESS] yesterday."]

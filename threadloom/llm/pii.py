@@ -80,8 +80,11 @@ NUMBER_LAST = re.compile(
     r"|(?<!\w)(?:calle|c/|avda\.?|av\.|avenida|plaza|paseo|camino|carrera|ronda|travesía)(?: (?:de los|de las|de la|del|de))? [a-zà-ÿ'\-]+(?: (?:de los|de la|del|de|[a-zà-ÿ'\-]+)){0,3}?,? (?:n\.?º ?)?\d{1,4}(?:, (?:bajo|ático|\d{1,2}\.?º(?: [a-z]\b)?))?",
     re.I,
 )
-_LAST_WORDS = ("straße", "strasse", "str.", "weg ", "platz ", "gasse ", "allee ", "ring ", "damm ", "ufer ", "calle ", "c/ ", "avda", "av. ", "avenida ", "plaza ", "paseo ", "camino ", "carrera ", "ronda ", "travesía ")
-_HOUSE = re.compile(r"(?<![\w.,\-/:#])\d{1,5}(?!\d)")
+#: What every match of ``NUMBER_LAST`` holds, lower case.
+_LAST_WORDS = re.compile(r"(?:straße|strasse|str\.|weg|platz|gasse|allee|ring|damm|ufer) ?\d|(?:calle|c/|avda\.?|av\.|avenida|plaza|paseo|camino|carrera|ronda|travesía) ")
+#: A number that may end an address; one that may begin an address has none of ``_INSIDE`` before it.
+_HOUSE = re.compile(r"(?<!\d)\d{1,5}(?!\d)")
+_INSIDE = re.compile(r"[\w.,\-/:#]")
 #: Street names of a preposition and capitalised words, and of two words.
 AM_STREET = re.compile(r"(?<![\w\-])(?:(?:A[mM]|I[mM]|A[nN] D[eE][rRnN]|An der|An den|Z[uU][mM]|Z[uU][rR]|Auf de[rm]|In der|Unter den) (?:[A-ZÄÖÜ][\wäöüß\-]+ ?){1,3}|[A-ZÄÖÜ][\wäöüß\-]+er (?:Straße|Str\.|Weg|Platz|Gasse|Allee) ?)(?<= )\d{1,4}(?!\d)(?: ?[a-z]\b)?(?:, \d{5} [A-ZÄÖÜ][\wäöüß\-]+)?")
 #: A number and capitalised words without a street word: only a pattern can make it an address.
@@ -127,9 +130,9 @@ def candidates(text: str) -> list[tuple]:
             add(m.start(), m.start() + len(s), "email", "email", "", "email")
             taken.append((m.start(), m.end()))
     if _DIGIT.search(text):
-        before_number = any(w in low for w in _LAST_WORDS)
+        before_number = _LAST_WORDS.search(low)
         for h in _HOUSE.finditer(text):
-            m = NUMBER_FIRST.match(text, h.start())
+            m = None if h.start() and _INSIDE.match(text, h.start() - 1) else NUMBER_FIRST.match(text, h.start())
             a, b = m.span() if m else (0, 0)
             if m:
                 flat = FLAT.search(text, max(0, a - 18), a)
