@@ -2,9 +2,10 @@
 
 Statistics are taken of every document and of every block of it (text between blank lines).
 A Gaussian mixture is fitted to the standardized block statistics by expectation-maximization
-over *all* blocks; its components start at inspected examples of prose, lists, tables and junk
-and are named after the fit by the examples they explain best. A document is a case when blocks
-of list, table or junk hold more than half of its characters.
+over *all* blocks until its likelihood stays; inspected examples of prose, lists, tables and
+junk, which had no part in the fit, then say which kind a component is. A document is a case
+when blocks of list, table or junk hold more than half of its characters. Nothing depends on
+the number of blocks: a table and many copies of it give the same cases.
 
 Each EM round reads the stored block table once, reduces every partition to sufficient
 statistics, sums them in Spark, and brings one number per component and statistic to the driver.
@@ -26,7 +27,12 @@ from pyspark.sql import functions as F
 
 from threadloom.session import staged
 
-ROUNDS = 8
+#: Components of the mixture: about eight for each kind.
+COMPONENTS = 32
+#: Distinct block statistics from which the components start, and the starts tried on them.
+SAMPLE, STARTS = 4096, 12
+#: EM ends when a round raises the mean log-likelihood of a block by less than this share.
+TOLERANCE, MOST_ROUNDS = 1e-4, 100
 #: Least variance of a standardized statistic within a component.
 FLOOR = 0.05
 FEATURES = ["words", "word_length", "symbols", "digits", "ended", "common", "marked", "columns", "line_words", "repeated", "odd", "commas", "urls", "longest"]
@@ -47,6 +53,13 @@ EXAMPLES = {
         "quiet-river-123: I would not trust the numbers on the last page, but the chart looks good. To be fair, it is only a draft.",
         "Who said so? I did not see it in the article, and the comments here do not help.\nBut if you can find it, please post the link. We have all been asking for it since last year.",
         "Exactly my thought.",
+        "Thanks, that helps.",
+        "The meeting ran long, so I left before the vote 🙂",
+        "anyone know why the bus was late again today it seems to happen every week and nobody from the company says why 🙂",
+        "so the plan is to wait? i would not, because by the time they answer we have paid for it twice, and that is what they want",
+        "hier soir le conseil a encore parlé du budget mais personne n'a compris ce qui va changer pour nous",
+        "gestern hat der rat wieder über den haushalt gesprochen aber keiner weiß was das für uns heißt",
+        "ayer el consejo habló otra vez del presupuesto pero nadie sabe qué cambia para nosotros",
     ],
     "list": [
         "- wage floor\n- night train\n- bus depot\n- hiring freeze\n- old reservoir",
@@ -62,6 +75,11 @@ EXAMPLES = {
         "Westham: census form\nEastby: night train\nNorthgate: postal vote",
         "pier renovation, census form, battery plant, satellite tender, forest road, night train, bike lanes, flood barrier, tram extension.",
         "wage floor, hiring freeze, postal vote, old reservoir",
+        "das Rathaus, den neuen Fahrplan, die alte Brücke, das Bad am Park, die Karte der Stadt",
+        "la salle des fêtes, le vieux pont, la liste des salles, le plan du parc, l'horaire du bus",
+        "la sala de actos, el puente viejo, la lista de salas, el plan del parque, el horario del bus",
+        "Westham: el puente viejo\nEastby: la lista de salas\nNorthgate: el parque",
+        "le vieux pont\nla salle des fêtes\nle plan du parc\nl'horaire du bus\nla liste des salles",
     ],
     "table": [
         "| town | homes | pct |\n|---|---:|---|\n| Westham | 2412 | 91.4 |\n| Eastby | 612 | 14.0 |",
@@ -70,6 +88,7 @@ EXAMPLES = {
         '"town","homes","pct"\n"Westham","2412","91.4"\n"Eastby","612","14.0"',
         "town        homes   pct  done\nWestham      2412  91.4  yes\nEastby        612  14.0  n/a",
         "town,homes,pct,done\nWestham,2412,91.4,yes\nEastby,612,14.0,no",
+        "<tr><td>Westham</td><td>2412</td><td>91.4</td></tr>\n<tr><td>Eastby</td><td>612</td><td>14.0</td></tr>",
     ],
     "junk": [
         "%;[{ }]=+ <*&^ |\\/ ~~ $#@ !{} ;:[ <>_ ^^ *& %$ {[ |;",
@@ -116,8 +135,8 @@ def statistics(text: str, common: frozenset[str]) -> list[float]:
         (alnum - letters) / solid,
         sum(x.rstrip().endswith(_ENDS) for x in lines) / m,
         sum(c for w, c in count.items() if w in common) / n if n else 0.0,
-        sum(_MARK.match(x) is not None for x in lines) / m,
-        sum(_COLUMNS.match(x) is not None for x in lines) / m,
+        sum(_MARK.match(x) is not None for x in lines if not x[0].isalpha() or ")" in x[:6]) / m,
+        sum(_COLUMNS.match(x) is not None for x in lines if "|" in x or ";" in x or "," in x or "\t" in x or "  " in x) / m,
         np.log1p(n / m),
         max(count.values()) / n if n else 0.0,
         sum(c for w, c in count.items() if 3 <= len(w) <= 30 and _ODD.search(w)) / short if short else 0.0,
@@ -154,7 +173,7 @@ def document_stats(documents: DataFrame, common: DataFrame) -> DataFrame:
 
 
 def block_table(documents: DataFrame, words) -> DataFrame:
-    """``doc_id, chars, x``: size and statistics of every block."""
+    """``doc_id, chars`` and the statistics ``FEATURES`` of every block."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -163,11 +182,11 @@ def block_table(documents: DataFrame, words) -> DataFrame:
                 for k in blocks(t) if t else ():
                     ids.append(i)
                     chars.append(len(k))
-                    x.append(np.array(statistics(k, words.value), dtype=np.float32))
+                    x.append(statistics(k, words.value))
             if ids:
-                yield pd.DataFrame({"doc_id": ids, "chars": chars, "x": x})
+                yield pd.concat([pd.DataFrame({"doc_id": ids, "chars": chars}), pd.DataFrame(np.array(x, dtype=np.float32), columns=FEATURES)], axis=1)
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id bigint, chars bigint, x array<float>")
+    return documents.select("doc_id", "text").mapInPandas(run, "doc_id bigint, chars bigint, " + ", ".join(f"{f} float" for f in FEATURES))
 
 
 class Mixture:
@@ -175,18 +194,54 @@ class Mixture:
 
     def __init__(self, mean, scale, weights, mu, var):
         self.mean, self.scale, self.weights, self.mu, self.var = mean, scale, weights, mu, var
-        self.names: list[str] = []
+        self.kinds = np.zeros((len(weights), len(EXAMPLES)))
 
     def log_density(self, x: np.ndarray) -> np.ndarray:
         z = (x - self.mean) / self.scale
         inv = 1 / self.var
         quad = (z**2) @ inv.T - 2 * z @ (self.mu * inv).T + ((self.mu**2) * inv).sum(axis=1)
-        return np.log(self.weights) - 0.5 * (quad + np.log(self.var).sum(axis=1))
+        return np.log(self.weights) - 0.5 * (quad + np.log(2 * np.pi * self.var).sum(axis=1))
 
-    def responsibilities(self, x: np.ndarray) -> np.ndarray:
+    def responsibilities(self, x: np.ndarray) -> tuple[np.ndarray, float]:
+        """Share of every component in every row, and the log-likelihood of the rows."""
         d = self.log_density(x)
-        p = np.exp(d - d.max(axis=1, keepdims=True))
-        return p / p.sum(axis=1, keepdims=True)
+        most = d.max(axis=1, keepdims=True)
+        p = np.exp(d - most)
+        total = p.sum(axis=1, keepdims=True)
+        return p / total, float((most + np.log(total)).sum())
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        """What EM needs of rows: their number, log-likelihood, and per component the weight, sum and sum of squares."""
+        r, fit = self.responsibilities(x)
+        z = (x - self.mean) / self.scale
+        return np.concatenate([[len(x), fit], r.sum(axis=0), (r.T @ z).ravel(), (r.T @ z**2).ravel()])
+
+    def moved(self, sums: np.ndarray) -> Mixture:
+        """The mixture after the maximization step. Only shares of the sums count, so a table and its copies give the same."""
+        k, d = self.mu.shape
+        n = sums[2 : 2 + k] + 1e-9
+        mu = sums[2 + k : 2 + k + k * d].reshape(k, d) / n[:, None]
+        var = sums[2 + k + k * d :].reshape(k, d) / n[:, None] - mu**2
+        return Mixture(self.mean, self.scale, np.maximum(n / n.sum(), 1e-9), mu, np.maximum(var, 0) + FLOOR)
+
+    def climbed(self, gather, rounds: int) -> tuple[Mixture, float]:
+        """EM until the mean log-likelihood stays; ``gather(mixture)`` sums over the rows."""
+        model, last = self, -np.inf
+        for _ in range(rounds):
+            s = gather(model)
+            fit = s[1] / max(s[0], 1.0)
+            if fit - last <= TOLERANCE * abs(fit):
+                break
+            model, last = model.moved(s), fit
+        return model, last
+
+    def name(self, examples: np.ndarray, kinds: list[str]) -> None:
+        """Give every component the shares of the kinds: the nearer an inspected example of a kind, the more."""
+        z = (examples - self.mean) / self.scale
+        far = (((z[None] - self.mu[:, None]) ** 2) / (self.var[:, None] + 1)).mean(axis=2)
+        near = np.stack([far[:, [k == kind for k in kinds]].min(axis=1) for kind in sorted(EXAMPLES)], axis=1)
+        p = np.exp(-8 * (near - near.min(axis=1, keepdims=True)))
+        self.kinds = p / p.sum(axis=1, keepdims=True)
 
 
 def _summed(table: DataFrame, stats, size: int) -> np.ndarray:
@@ -196,50 +251,65 @@ def _summed(table: DataFrame, stats, size: int) -> np.ndarray:
         total = np.zeros(size)
         for b in batches:
             if len(b):
-                total += stats(np.stack(b["x"].to_numpy()).astype(float))
+                total += stats(b.to_numpy(dtype=float))
         yield pd.DataFrame({"i": np.arange(size), "v": total})
 
-    rows = table.select("x").mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    rows = table.select(*FEATURES).mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
     out = np.zeros(size)
     for r in rows:
         out[r["i"]] = r["v"]
     return out
 
 
-def fit(table: DataFrame, common: frozenset[str], rounds: int = ROUNDS) -> Mixture:
-    """EM over all blocks from components that start at the inspected examples."""
+def start_points(table: DataFrame) -> np.ndarray:
+    """At most ``SAMPLE`` distinct block statistics, those of least hash: copies of a block change nothing."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = pd.DataFrame(columns=[*FEATURES, "h"])
+        for b in batches:
+            h = pd.util.hash_pandas_object(b, index=False).to_numpy().view(np.int64)
+            some = np.argsort(h, kind="stable") if len(h) <= SAMPLE else np.argpartition(h, SAMPLE)
+            kept = pd.concat([kept, b.assign(h=h).iloc[some]] if len(kept) else [b.assign(h=h)]).drop_duplicates("h").nsmallest(SAMPLE, "h")
+        if len(kept):
+            yield kept.astype({"h": "int64"})
+
+    each = table.select(*FEATURES).mapInPandas(run, ", ".join(f"{f} float" for f in FEATURES) + ", h bigint")
+    return each.dropDuplicates(["h"]).orderBy("h").limit(SAMPLE).select(*FEATURES).toPandas().to_numpy(dtype=float)
+
+
+def fit(table: DataFrame, common: frozenset[str], rounds: int = MOST_ROUNDS, components: int = COMPONENTS, seed: int = 0) -> Mixture:
+    """EM over all blocks until it converges.
+
+    The components start at spread points of a bounded sample (several starts climb on the sample, the
+    likeliest goes on over all blocks); the inspected examples only name what was fitted.
+    """
     d = len(FEATURES)
     first = _summed(table, lambda x: np.concatenate([[len(x)], x.sum(axis=0), (x**2).sum(axis=0)]), 1 + 2 * d)
     n = max(first[0], 1.0)
     mean = first[1 : 1 + d] / n
     scale = np.sqrt(np.maximum(first[1 + d :] / n - mean**2, 1e-4))
     named = [(kind, np.array(statistics(e, common))) for kind, es in EXAMPLES.items() for e in es]
-    examples = np.stack([x for _, x in named])
-    kinds = [k for k, _ in named]
-    k = len(named)
-    anchors = (examples - mean) / scale
-    model = Mixture(mean, scale, np.full(k, 1 / k), anchors.copy(), np.full((k, d), 0.5))
-
-    for _ in range(rounds):
-
-        def gather(x: np.ndarray, model: Mixture = model) -> np.ndarray:
-            r = model.responsibilities(x)
-            z = (x - model.mean) / model.scale
-            return np.concatenate([r.sum(axis=0), (r.T @ z).ravel(), (r.T @ z**2).ravel()])
-
-        s = _summed(table, gather, k + 2 * k * d)
-        # each example counts as one block of its own component, so no component dies or drifts from what it is named after
-        w = s[:k] + 1
-        mu = (s[k : k + k * d].reshape(k, d) + anchors) / w[:, None]
-        var = (s[k + k * d :].reshape(k, d) + anchors**2 + FLOOR) / w[:, None] - mu**2
-        model = Mixture(mean, scale, w / w.sum(), mu, np.maximum(var, FLOOR))
-    r = model.responsibilities(examples)
-    # a component bears the kind whose examples it explains most; one that explains none keeps that of its start
-    for c in range(k):
-        votes = Counter()
-        for j, kind in enumerate(kinds):
-            votes[kind] += r[j, c]
-        model.names.append(votes.most_common(1)[0][0] if max(votes.values()) > 1e-3 else kinds[c])
+    points = start_points(table)
+    if not len(points):
+        points = np.stack([x for _, x in named])
+    z = (points - mean) / scale
+    random = np.random.default_rng(seed)
+    k = min(components, len(z))
+    best: tuple[float, Mixture] | None = None
+    for _ in range(STARTS):
+        at = [int(random.integers(len(z)))]
+        gap = ((z - z[at[0]]) ** 2).sum(axis=1)
+        while len(at) < k and gap.sum() > 0:
+            at.append(int(random.choice(len(z), p=gap / gap.sum())))
+            gap = np.minimum(gap, ((z - z[at[-1]]) ** 2).sum(axis=1))
+        begun = Mixture(mean, scale, np.full(len(at), 1 / len(at)), z[at], np.full((len(at), d), 0.5))
+        model, likely = begun.climbed(lambda m: m.sums(points), rounds)
+        if best is None or likely > best[0]:
+            best = (likely, model)
+    model = best[1]
+    size = 2 + len(model.weights) * (1 + 2 * d)
+    model, _ = model.climbed(lambda m: _summed(table, m.sums, size), rounds)
+    model.name(np.stack([x for _, x in named]), [kind for kind, _ in named])
     return model
 
 
@@ -248,24 +318,23 @@ def labelled(table: DataFrame, model: Mixture) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kinds = sorted(EXAMPLES)
-        to = np.array([[name == k for k in kinds] for name in model.names], dtype=float)
         for b in batches:
             if len(b):
-                p = model.responsibilities(np.stack(b["x"].to_numpy()).astype(float)) @ to
+                p = model.responsibilities(b[FEATURES].to_numpy(dtype=float))[0] @ model.kinds
                 yield pd.DataFrame({"doc_id": b["doc_id"], "chars": b["chars"], "kind": [kinds[j] for j in p.argmax(axis=1)]})
 
     return table.mapInPandas(run, "doc_id bigint, chars bigint, kind string")
 
 
-def kinds(documents: DataFrame, common: DataFrame) -> DataFrame:
+def kinds(documents: DataFrame, common: DataFrame, rounds: int = MOST_ROUNDS) -> DataFrame:
     """Per document with text: ``doc_id, prose, list, table, junk`` as shares of the characters of its blocks."""
     words = common_set(common)
     table = staged(block_table(documents, documents.sparkSession.sparkContext.broadcast(words)), "blocks")
-    named = labelled(table, fit(table, words))
+    named = labelled(table, fit(table, words, rounds))
     share = lambda k: (F.sum(F.when(F.col("kind") == k, F.col("chars")).otherwise(0)) / F.sum("chars")).alias(k)
     return named.groupBy("doc_id").agg(*[share(k) for k in ("prose", "list", "table", "junk")])
 
 
-def found(documents: DataFrame, common: DataFrame) -> DataFrame:
+def found(documents: DataFrame, common: DataFrame, rounds: int = MOST_ROUNDS) -> DataFrame:
     """Cases: ``doc_id`` of documents with more than half list, table or junk."""
-    return kinds(documents, common).filter("prose < 0.5").select("doc_id").distinct()
+    return kinds(documents, common, rounds).filter("prose < 0.5").select("doc_id").distinct()
