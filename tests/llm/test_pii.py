@@ -3,8 +3,7 @@ from __future__ import annotations
 import pytest
 
 from tests.llm.helpers import record, records
-from tests.llm.test_abuse import examples
-from threadloom.llm import pii, residue
+from threadloom.llm import pii
 
 CASES = [
     ("Write to ann.lee (at) mail dot example dot org today", "email"), ("Call me on 212-555-0147 after six", "phone"), ("my SSN is 912-44-3321, leaked", "id_number"),
@@ -35,42 +34,6 @@ def test_redaction_keeps_the_rest(spark):
     assert got == {"s1": "Ask [NAME] or mail [EMAIL], or call [PHONE].", "r1_0": "nothing here"}
 
 
-@pytest.mark.parametrize("s", ["Hi {{name}}, hello", "Signed, $FULL_NAME$", "404 Not Found", "Please turn on JavaScript and reload", "Lorem ipsum dolor sit amet", "Su sesión ha caducado.", '{"error": 429, "message": "x"}', "TBD TBD TBD", "Dear [INSERT NAME], hello"])
-def test_trusted(s):
-    assert residue.trusted(s) == 1
-
-
-@pytest.mark.parametrize("s", ["You write `{{ host }}` in the config.", "I keep getting a 404 error whenever I open it.", "The portal only works with JavaScript enabled, which is silly.", "The designer left lorem ipsum in the leaflet and half of the town laughed.", "See [link](https://a.example/t/1)", "We like bread."])
-def test_not_trusted(s):
-    assert residue.trusted(s) <= 0
-
-
-def test_labels_spread_to_near_duplicates(spark):
-    seed = "Service temporarily unavailable (503) for the members forum, the night crew of this board is busy with repairs and moving every thread to the new machines, come back tomorrow after ten please"
-    near = seed.replace("Service temporarily unavailable (503) for", "Our service temporarily unavailable (503) for")
-    assert residue.trusted(seed) == 1 and residue.trusted(near) == 0
-    a, b = residue.SimHash().batch([residue.masked(seed), residue.masked(near)])
-    rows = [record(1, seed), record(2, near), record(3, "The night crew of this board is busy with other things and comes back later today")]
-    got = {r["record_id"] for r in residue.found(records(spark, rows)).collect()}
-    assert got == ({1, 2} if bin((int(a) ^ int(b)) & (2**64 - 1)).count("1") <= residue.HAMMING else {1})
-
-
-@pytest.mark.parametrize("s", ["placeholder " * 31, "test " * 500, "foo foo foo", "Uncaught TypeError: cannot read properties of undefined", "Uncaught ReferenceError: x is not defined"])
-def test_trusted_at_every_length(s):
-    assert residue.trusted(s) == 1
-
-
-@pytest.mark.parametrize("s", ["No no no!", "ha ha ha", "la la la la"])
-def test_speech_is_no_filler(s):
-    assert residue.trusted(s) <= 0
-
-
-@pytest.mark.parametrize("pattern", residue.MESSAGE)
-def test_gate_passes_every_message(pattern):
-    texts = [t for t in examples(residue.re._parser.parse(pattern)) if residue._MESSAGE.match(t)]
-    assert texts and all(not residue.KEYS.isdisjoint(residue._LOW.findall(t)) for t in texts)
-
-
 @pytest.mark.parametrize("address", ["Hauptstr.12", "Hauptstraße12", "Lindenweg12", "Calle Mayor nº12"])
 def test_house_number_beside_a_letter_point_or_comma(spark, address):
     got = pii.redacted(records(spark, [record(1, f"They moved to {address} yesterday.")])).collect()
