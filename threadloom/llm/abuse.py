@@ -1,16 +1,19 @@
 """Problem 1: abusive, hateful or sexual content.
 
 Noisy channel: every text is read as a disguised version of an intended text. The
-disguises are look-alike symbols (``1``, ``@``, ``$``), masks (``*``), single letters
-set apart by spaces or points, and repeated letters. A character n-gram model counted
-over *all* texts gives the probability of an intended letter sequence; a Viterbi search
-over the lattice of readings gives the restored text, which is then scored.
-
-A piece of text that shows no disguise has a lattice with one path, so only
-disguised pieces are searched; each distinct piece once per worker.
-
-Defined results: null and empty texts score 0; whole texts of any length are read;
-repeated rows score the same.
+disguises are look-alike symbols (``1``, ``@``, ``$``), masks (``*``), letters and pieces
+set apart by spaces or points, and repeated letters. A character 4-gram model counted over
+*all* texts gives the probability of an intended letter sequence; a Viterbi search over the
+lattice of readings, without a beam, gives the restored text. A piece of text that shows no
+disguise has a lattice with one path, so only disguised pieces are searched, each distinct
+piece once per worker. Stars hide every letter, so there the listed words that fit come first.
+
+The restored text is scored by a logistic model over single words, pairs and triples of words
+of a moving window, listed insults being one class. Its weights are fitted to the labelled
+sentences of ``abuse_rows`` against at most ``BACKGROUND`` distinct sentences of the texts.
+
+Defined results: null and empty texts score 0, and so does a text under ``LEAST``; whole texts
+of any length are read; repeated rows score the same.
 """
 
 from __future__ import annotations
@@ -20,18 +23,30 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
-from re import _parser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.llm.abuse_rows import ABUSIVE, HARMLESS
 from threadloom.llm.texts import plain, record_texts
 
 #: A text with at least this score is a case.
 THRESHOLD = 0.5
-ORDER = 3
-ALPHABET = "abcdefghijklmnopqrstuvwxyzàáâäçèéêëìíîïñòóôöùúûüß"
+#: Scores below this are given as 0.
+LEAST = 0.02
+#: Distinct sentences of the texts, those of least hash, that stand for ordinary language in the fit.
+BACKGROUND = 4000
+#: Words of the moving window.
+WINDOW = 16
+ORDER = 4
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: Begins and ends a word in the character model.
+EDGE = "^"
+SYMBOLS = LETTERS + EDGE
+_AT = {c: i for i, c in enumerate(SYMBOLS)}
+ACCENTS = str.maketrans({c: b for c in map(chr, range(0xE0, 0x180)) if (b := unicodedata.normalize("NFD", c)[0]) in LETTERS})
 
 # Words that insult whoever they are aimed at, by language.
 STRONG = """
@@ -51,21 +66,30 @@ OTHER = "fuck fucking shit cock dick pussy tits cum nudes naked horny porn ass b
 # How single characters stand for letters.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l"}
 
-#: Letters without and with their accents.
-BARE = {c: b for c in ALPHABET if (b := unicodedata.normalize("NFD", c)[0]) != c}
-ACCENTED = {b: "".join(c for c in BARE if BARE[c] == b) for b in BARE.values()}
+LEET_TABLE = str.maketrans({c: x[0] for c, x in LEET.items()})
+
+
+def fold(text: str) -> str:
+    """Lower case without accents."""
+    low = text.lower()
+    return low if low.isascii() else low.replace("ß", "ss").translate(ACCENTS)
+
 
-LEXICON = sorted({w for x in STRONG + WEAK + OTHER + PHRASES for w in x.split()})
+INSULTS = frozenset(map(fold, STRONG))
+SOFT = frozenset(map(fold, WEAK)) - INSULTS
+LEXICON = sorted({w for x in (*STRONG, *WEAK, *OTHER, *PHRASES) for w in fold(x).split()})
 #: Words that are looked for in pieces.
-PIECED = frozenset(w for w in STRONG + WEAK + OTHER if len(w) >= 4)
+PIECED = frozenset(fold(w) for w in (*STRONG, *WEAK, *OTHER) if len(w) >= 4)
 
-MASKED = re.compile(rf"[{ALPHABET}{ALPHABET.replace('ß', 'ẞ').upper()}0-9@$!|+*€£]{{2,}}")
+MASKED = re.compile(r"[a-z01345789@$!|+*€£]{2,}")
 SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_](?:[ .\-_·]{1,4}|\*)){2,}[^\W\d_](?![^\W_])")
 #: Pieces of words, and what may stand between the pieces of one word.
 PIECE = re.compile(r"(?:[^\W_]|[@$!|+€£])*(?:[^\W_]|[@$€£])")
 GAP = re.compile(r"[ .\-_·]{1,4}|\*")
-#: Log probability of a separator inside a word, of a space between pieces of several letters, of a letter written twice, and of a symbol that stands for itself.
-APART, SPACE, TWICE, ODD = -3.0, -7.0, -2.0, -4.0
+#: Log probability of a separator inside a word, of a space between pieces of several letters, of a letter written twice, of a symbol that stands for itself, and of a missing separator between words.
+APART, SPACE, TWICE, ODD, CLOSE = -3.0, -7.0, -2.0, -4.0, -2.0
+#: How much likelier a listed word is than the character model says where somebody set its pieces apart.
+COARSE = 4.0
 DOUBLED = re.compile(r"([^\W\d_])\1")
 REPEATED = re.compile(r"([^\W\d_])\1\1")
 NO_STAR = ".,;:?\"'()[]{}<>_~^`-"
@@ -75,58 +99,37 @@ EDGES = ".,;:?\"'()[]{}<>*_~^`-"
 
 
 class CharModel:
-    """Interpolated character n-gram model; ``^`` begins and ``$`` ends a word."""
+    """Interpolated character 4-gram model over folded words."""
 
     def __init__(self, grams: dict[str, float]):
-        self.top: dict[str, float] = defaultdict(float)
-        self.low: dict[str, float] = defaultdict(float)
-        self.one: dict[str, float] = defaultdict(float)
-        mid: dict[str, float] = defaultdict(float)
-        for g, n in grams.items():
-            self.top[g] += n
-            mid[g[1:]] += n
-            self.one[g[2:]] += n
-        ctx3: dict[str, float] = defaultdict(float)
-        ctx2: dict[str, float] = defaultdict(float)
-        for g, n in self.top.items():
-            ctx3[g[:2]] += n
-        for g, n in mid.items():
-            ctx2[g[:1]] += n
-        self.mid, self.ctx3, self.ctx2, self.n = mid, ctx3, ctx2, sum(self.one.values()) or 1.0
-        self.cache: dict[tuple[str, str], float] = {}
-
-    def logp(self, ctx: str, c: str) -> float:
-        key = (ctx, c)
-        if key not in self.cache:
-            p1 = (self.one.get(c, 0) + 0.5) / (self.n + 30)
-            p2 = (self.mid.get(ctx[1:] + c, 0) + 5 * p1) / (self.ctx2.get(ctx[1:], 0) + 5)
-            p3 = (self.top.get(ctx + c, 0) + 5 * p2) / (self.ctx3.get(ctx, 0) + 5)
-            self.cache[key] = math.log(p3)
-        return self.cache[key]
+        n = len(SYMBOLS)
+        top = np.zeros((n,) * ORDER)
+        for g, k in grams.items():
+            top[tuple(_AT[c] for c in g)] += k
+        p: np.ndarray | None = None
+        for order in range(1, ORDER + 1):
+            c = top.sum(axis=tuple(range(ORDER - order)))
+            p = (c + 0.5) / (c.sum() + 0.5 * n) if p is None else (c + 5 * p) / (c.sum(axis=-1, keepdims=True) + 5)
+        self.array = np.log(p)
+        self.flat = self.array.ravel().tolist()
+        self.begin = (_AT[EDGE] * n + _AT[EDGE]) * n + _AT[EDGE]
+
+    def step(self, ctx: int, c: int) -> tuple[float, int]:
+        """Log probability of a symbol and the context after it."""
+        n = len(SYMBOLS)
+        return self.flat[ctx * n + c], ctx % (n * n) * n + c
 
 
 def word_grams(word: str) -> list[str]:
-    w = "^^" + word + "$"
+    w = EDGE * (ORDER - 1) + word + EDGE
     return [w[i : i + ORDER] for i in range(len(w) - ORDER + 1)]
 
 
 class Decoder:
-    """Viterbi search over the readings of one disguised piece.
+    """Viterbi search over the readings of one disguised piece; symbols, masks and gaps cost what the channel says."""
 
-    A word is drawn from the lexicon with probability ``mix`` and else spelled by the
-    character model; symbols and masks cost what the channel says.
-    """
-
-    def __init__(self, grams: dict[str, float], mix: float = 0.05):
+    def __init__(self, grams: dict[str, float]):
         self.model = CharModel(grams)
-        self.words = {w: math.log(mix / len(LEXICON)) for w in LEXICON}
-        self.free = math.log(1 - mix)
-        self.trie: dict = {}
-        for w in self.words:
-            at = self.trie
-            for c in w:
-                at = at.setdefault(c, {})
-            at["$"] = w
         self.pieced: dict = {}
         for w in PIECED:
             at = self.pieced
@@ -134,18 +137,25 @@ class Decoder:
                 at = at.setdefault(c, {})
             at["$"] = w
         self.memo: dict[str, str] = {}
+        self.costs: dict[str, float] = {}
         self.begun: dict[str, list[tuple[float, dict, str]]] = {}
 
     def spelled(self, word: str) -> float:
         """Log probability of a word as the character model spells it; a symbol costs ``ODD``."""
-        ctx, lp = "^^", self.free
-        for c in word:
-            if c in ALPHABET:
-                lp += self.model.logp(ctx, c)
-                ctx = ctx[1:] + c
-            else:
-                lp += ODD
-        return lp + self.model.logp(ctx, "$")
+        lp = self.costs.get(word)
+        if lp is None:
+            if len(self.costs) > 300_000:
+                self.costs.clear()
+            ctx, lp = self.model.begin, 0.0
+            for c in word:
+                if c in LETTERS:
+                    v, ctx = self.model.step(ctx, _AT[c])
+                    lp += v
+                else:
+                    lp += ODD
+            lp += self.model.step(ctx, _AT[EDGE])[0]
+            self.costs[word] = lp
+        return lp
 
     @staticmethod
     def walk(states: list[tuple[float, dict, str]], piece: str) -> list[tuple[float, dict, str]]:
@@ -166,7 +176,7 @@ class Decoder:
 
     def joined(self, text: str) -> str:
         """Put words together whose pieces stand apart, and undo doubled letters, where that is the more probable reading."""
-        pieces = [(m.start(), m.end(), m.group(0).lower()) for m in PIECE.finditer(text)]
+        pieces = [(m.start(), m.end(), m.group(0)) for m in PIECE.finditer(text)]
         out, done, i = [], 0, 0
         while i < len(pieces):
             first = pieces[i][2]
@@ -178,7 +188,7 @@ class Decoder:
             best, plain_lp, j = (0.0, 0, ""), 0.0, i
             while states:
                 plain_lp += self.spelled(pieces[j][2])
-                ends = [(lp + self.words[at["$"]], at["$"]) for lp, at, _ in states if "$" in at]
+                ends = [(lp + COARSE + self.spelled(at["$"]), at["$"]) for lp, at, _ in states if "$" in at]
                 if ends and (j > i or DOUBLED.search(first)):
                     lp, w = max(ends)
                     if lp - plain_lp > best[0] and w != first:
@@ -196,20 +206,18 @@ class Decoder:
 
     @staticmethod
     def lattice(token: str) -> list[list[tuple[str, float]]]:
-        """Readings by position: ``(letter, cost)``; an empty letter drops a repeated one."""
+        """Readings by position: ``(letters, cost)``; no letters drop a repeated one."""
         out: list[list[tuple[str, float]]] = []
-        low, i = token.lower(), 0
-        while i < len(low):
-            c = low[i]
+        i = 0
+        while i < len(token):
+            c = token[i]
             j = i
-            while j < len(low) and low[j] == c:
+            while j < len(token) and token[j] == c:
                 j += 1
             if c == "*":
-                out += [[("?", -3.3)]] * (j - i)
+                out += [[(LETTERS, -3.3)]] * (j - i)
             elif c in LEET:
-                out += [[(x, -1.0) for x in LEET[c]] + [(y, -2.0) for x in LEET[c] for y in ACCENTED.get(x, "")]] * (j - i)
-            elif c in BARE and j - i < 3:
-                out += [[(c, 0.0), (BARE[c], -1.0)]] * (j - i)
+                out += [[(LEET[c], -1.0)]] * (j - i)
             elif j - i >= 3:
                 out += [[(c, -0.1)], [(c, -0.7), ("", -0.7)]]
             else:
@@ -217,62 +225,79 @@ class Decoder:
             i = j
         return out
 
-    def viterbi(self, token: str, width: int = 12) -> str:
-        steps = self.lattice(token)
-        spelled: dict[str, tuple[float, str]] = {"^^": (self.free, "")}
-        listed: list[tuple[float, dict]] = [(0.0, self.trie)]
-        for options in steps:
-            nxt: dict[str, tuple[float, str]] = {}
-            for ctx, (lp, done) in spelled.items():
-                for c, cost in options:
-                    if not c:
+    def fits(self, token: str) -> str | None:
+        """The listed word that a token with stars is likeliest to hide."""
+        rx = re.compile("".join("[a-z]" if c == "*" else f"[{LEET[c]}]" if c in LEET else re.escape(c) for c in token))
+        return max((w for w in LEXICON if rx.fullmatch(w)), key=self.spelled, default=None)
+
+    def viterbi(self, token: str) -> str:
+        """The most probable word; every state is kept."""
+        if token.count("*") > 1:
+            return self._dense(token)
+        states: dict[int, tuple[float, str]] = {self.model.begin: (0.0, "")}
+        for options in self.lattice(token):
+            nxt: dict[int, tuple[float, str]] = {}
+            for ctx, (lp, done) in states.items():
+                for letters, cost in options:
+                    if not letters:
                         if ctx not in nxt or nxt[ctx][0] < lp + cost:
                             nxt[ctx] = (lp + cost, done)
-                        continue
-                    for x in ALPHABET[:26] if c == "?" else c:
-                        v = lp + cost + self.model.logp(ctx, x)
-                        k = ctx[1:] + x
+                    for x in letters:
+                        v, k = self.model.step(ctx, _AT[x])
+                        v += lp + cost
                         if k not in nxt or nxt[k][0] < v:
                             nxt[k] = (v, done + x)
-            spelled = dict(sorted(nxt.items(), key=lambda kv: -kv[1][0])[:width])
-            moved: list[tuple[float, dict]] = []
-            for lp, at in listed:
-                for c, cost in options:
-                    if not c:
-                        moved.append((lp + cost, at))
-                    elif c == "?":
-                        moved += [(lp + cost, at[x]) for x in at if x != "$"]
-                    elif c in at:
-                        moved.append((lp + cost, at[c]))
-            kept: dict[int, tuple[float, dict]] = {}
-            for lp, at in moved:
-                if id(at) not in kept or kept[id(at)][0] < lp:
-                    kept[id(at)] = (lp, at)
-            listed = list(kept.values())
-        best = max(((lp + self.model.logp(ctx, "$"), w) for ctx, (lp, w) in spelled.items()), default=(-1e9, token.lower()))
-        for lp, at in listed:
-            if "$" in at and lp + self.words[at["$"]] > best[0]:
-                best = (lp + self.words[at["$"]], at["$"])
-        return best[1]
+            states = nxt
+        return max((lp + self.model.step(ctx, _AT[EDGE])[0], w) for ctx, (lp, w) in states.items())[1]
+
+    def _dense(self, token: str) -> str:
+        """``viterbi`` for tokens with several stars: all contexts at once."""
+        n = len(SYMBOLS)
+        score = np.full((n, n, n), -np.inf)
+        score[(_AT[EDGE],) * 3] = 0.0
+        back: list[tuple[np.ndarray, np.ndarray]] = []
+        for options in self.lattice(token):
+            best, first = np.full((n, n, n), -np.inf), np.zeros((n, n, n), dtype=np.int8)
+            for letters, cost in options:
+                if not letters:
+                    better = score + cost > best
+                    best[better], first[better] = score[better] + cost, -1
+                for x in letters:
+                    each = score + cost + self.model.array[..., _AT[x]]
+                    top = each.max(axis=0)
+                    better = top > best[..., _AT[x]]
+                    best[..., _AT[x]][better] = top[better]
+                    first[..., _AT[x]][better] = each.argmax(axis=0)[better]
+            back.append((first, best))
+            score = best
+        at = np.unravel_index((score + self.model.array[..., _AT[EDGE]]).argmax(), score.shape)
+        word: list[str] = []
+        for first, _ in reversed(back):
+            f = int(first[at])
+            if f >= 0:
+                word.append(SYMBOLS[at[2]])
+                at = (f, at[0], at[1])
+        return "".join(reversed(word))
 
     def segment(self, letters: str) -> str:
-        """Most probable words of joined single letters, from the lexicon or spelled by the character model; without a lexicon word the letters themselves."""
-        best: list[tuple[float, str]] = [(0.0, "")]
-        for i in range(1, len(letters) + 1):
-            options = []
-            for j in range(max(0, i - 14), i):
-                w = letters[j:i]
-                cost = max(self.words.get(w, -math.inf), self.spelled(w))
-                options.append((best[j][0] + cost, f"{best[j][1]} {w}".strip()))
-            best.append(max(options))
-        found = best[-1][1]
-        return found if any(w in self.words for w in found.split()) else letters
+        """Most probable words of joined single letters: at every letter the word goes on or a new one begins."""
+        states: dict[int, tuple[float, str]] = {self.model.begin: (0.0, "")}
+        for x in letters:
+            nxt: dict[int, tuple[float, str]] = {}
+            for ctx, (lp, done) in states.items():
+                v, k = self.model.step(ctx, _AT.get(x, 0))
+                w, b = self.model.step(self.model.begin, _AT.get(x, 0))
+                for y in ((lp + v, done + x, k), (lp + CLOSE + self.model.step(ctx, _AT[EDGE])[0] + w, f"{done} {x}", b)):
+                    if y[2] not in nxt or nxt[y[2]][0] < y[0]:
+                        nxt[y[2]] = y[:2]
+            states = nxt
+        return max((lp + self.model.step(ctx, _AT[EDGE])[0], w) for ctx, (lp, w) in states.items())[1].strip()
 
     def run(self, m: re.Match) -> str:
         """Restore a run of single letters; wider gaps part words."""
         s = m.group(0)
         if s not in self.memo:
-            words = [re.sub(r"[\W_]+", "", w) for w in re.split(r"[ ]{2,}|\. \.", s.lower())]
+            words = [re.sub(r"[\W_]+", "", w) for w in re.split(r"[ ]{2,}|\. \.", s)]
             if all(len(w) <= 1 for w in words):
                 words = ["".join(words)]
             self.memo[s] = " ".join(self.segment(w) for w in words if w)
@@ -285,20 +310,20 @@ class Decoder:
         if s.isalpha():
             if not REPEATED.search(s):
                 return None
-            return self.viterbi(s)
+            return self.viterbi(s) if set(s) <= set(LETTERS) else None
         if SPACED.search(s):
             return SPACED.sub(self.run, s)
         # stars at the end are a mask unless they also stand in front, where they are emphasis
         core = s.strip(EDGES if s.lstrip(NO_STAR)[:1] == "*" else NO_STAR).rstrip("!+|")
         if len(core) < 2 or core.isalpha() and not REPEATED.search(core):
             return None
-        if not (core.isalpha() or MASKED.fullmatch(core) and any(c.isalpha() for c in core)):
+        if not (core.isalpha() and set(core) <= set(LETTERS) or MASKED.fullmatch(core) and any(c.isalpha() for c in core)):
             return None
-        return s.replace(core, self.viterbi(core))
+        return s.replace(core, "*" in core and self.fits(core) or self.viterbi(core))
 
     def restore(self, text: str) -> str:
-        """The most probable intended text."""
-        t = self.joined(plain(text))
+        """The most probable intended text, folded."""
+        t = self.joined(fold(plain(text)))
         memo, changed, runs = self.memo, {}, 0
         for s in set(t.split()):
             if s not in memo:
@@ -319,114 +344,147 @@ class Decoder:
         return re.sub(r"\S+", lambda m: changed.get(m.group(0), m.group(0)), t)
 
 
-# Rules over a restored, lower-case sentence.
-_INS = "(?:" + "|".join(sorted({*PHRASES, *STRONG}, key=len, reverse=True)) + ")(?:e?s|en|er|e)?"
-_SOFT = "(?:" + "|".join(sorted({*PHRASES, *STRONG, *WEAK}, key=len, reverse=True)) + ")(?:e?s)?"
-_SELF = re.compile(r"\b(?:i was|i am|i'm|i felt like|i feel like|call me|my own|ich bin|ich war|je suis|j'étais|soy|fui|am i)\b(?:\W+\w+){0,3}\W+" + _SOFT)
-_RULES: list[str] = [
-    # aimed insults
-    r"\b(?:you|your|you're|ur|u|op|op's|yourself|yourselves)\b.{0,90}?\b" + _INS + r"\b",
-    r"\b" + _INS + r"\b.{0,40}?\b(?:you|your|you're|yourself|u)\b",
-    r"\b(?:poster|shut up|stfu|gtfo|gene pool|hey|typical|fuck off|screw|somebody take the keyboard away from)\b.{0,70}?\b" + _SOFT + r"\b",
-    r"\b(?:such a|what a|only a|being this big a|this|that|these|those|another|you|bunch of|fucking|bloody)\s+(?:\w+\s+){0,2}?" + _INS + r"\b",
-    r"\b(?:you|you're|ur|your|op|op's|poster)\b(?:\W+\w+){0,9}?\W+(?:such\s+)?(?:an?|biggest|little|absolute|complete|total|pathetic|worthless|spineless|stupid|filthy|lying|as an?)\s+(?:\w+\s+){0,2}?" + _SOFT + r"\b",
-    r"\b" + _SOFT + r"\s+(?:like you|you are)\b",
-    r"\b(?:nobody asked you|smarter than you|makes this board dumber|two brain cells|you make me sick|back to your (?:cave|hole|swamp))\b",
-    r"\b(?:one brain and it is not your turn|gene pool needs|crawl back under|delete your account you)\b",
-    r"🖕",
-    r"\b(?:screw|fuck|damn|curse) (?:you|off|yourself)\b|\bgo to hell\b|\beat shit\b|\bkiss my ass\b",
-    # threats and wishes of harm
-    r"\b(?:hope|wish|someone should|somebody should|someone ought|pray)\b.{0,60}?\b(?:choke|die|dies|burn|breaks?|rape|rapes|kills?|shoots?|stabs?|cancer|suffer|rot|beats?|drown|hangs?|legs|teeth|neck)\b",
-    r"\b(?:deserve|deserves|ought|should|needs?) (?:to be )?(?:beaten|shot|hanged|hung|killed|raped|stabbed|lynched|gassed|burned|drowned|put down)\b",
-    r"\bi(?:'ll| will| am going to|'m going to| would love to| want to)\b.{0,30}?\b(?:smash|hurt|kill|beat|break|stab|shoot|find|cut|burn|bury|strangle|punch)\b\s+(?:you|your|u|them|him|her|every)\b",
-    r"\b(?:smash your|break your|kick your|knock your|slit your|cut your)\s+\w+",
-    r"\bburn your house\b|\bwatch your back\b|\bget a bullet\b|\bbullet (?:one day|in your|for you)|\bbaseball bat\b|\byou won't live to see\b|\byour kind hangs\b|\bi know where you live\b|\byou will (?:pay for this|bleed|die|hang)\b|\byou are (?:dead|next)\b",
-    r"\b(?:kys|kill yourself|hang yourself|drink bleach|jump off the pier|jump off a|nobody would notice if you were gone|do the world a favou?r|neck yourself|end your life)\b",
-    # degrading groups
-    r"\b(?:are|is)\b.{0,25}?\b(?:vermin|subhuman|sub-human|cockroaches|animals|a disease|a plague|parasites|filth|scum|savages|rats|inferior|born thieves|born criminals)\b",
-    r"\b(?:belongs? in cages|should be driven out|breed like|should be (?:sterili[sz]ed|exterminated|deported|wiped out|gassed)|only good .{1,40}? (?:are|is)(?: a)? dead|back in boxes|sink the boat|honest day of work|smell .{1,40}? before you see|filthy lot|clean this (?:country|town|city) of|starve, fewer mouths|this town needs the cure|outnumber us|near a school, they are)\b",
-    # sexually explicit
-    r"\b(?:suck(?:ing)?|lick|ride|stroke|chup\w+|suce\w*|lutsch\w*|blas\w*)\b.{0,20}?\b(?:cock|dick|pussy|balls|bite|queue|polla|verga|schwanz)\b",
-    r"\b(?:wet|tight|shaved)\s+pussy\b|\b(?:hot )?naked (?:singles|girls|teens|women|boys)\b|\b(?:so |really )?horny\b|\bnudes\b|\bdick pics?\b|\bjerk(?:s|ing|ed)? off\b|\bjack(?:s|ing)? off\b|\brub one out\b|\bhis cum\b|\bcum (?:on|in|all)\b|\bblow ?job\b|\bhand ?job\b|\bgang ?bang\b|\bcreampie\b|\bthreesome\b|\banal\b",
-    r"\bspreading her legs\b|\bspread (?:your|her) legs\b|\bshow (?:us|me) your (?:tits|boobs|ass|pussy)\b|\bmade me so (?:hard|wet)\b|\bbend\b.{0,30}?\bover\b.{0,30}?\b(?:pound|fuck|ass)\b|\bpound (?:her|his|your|that)\b|\bfuck (?:that|her|him|you|the|his|your)\b.{0,40}?\b(?:raw|hard|all night|desk|bed|mouth|ass)\b|\bwant to fuck\b|\bfingered?\b.{0,20}?\bpussy\b",
-    # other languages
-    r"\bhalt (?:die|deine?) (?:fresse|maul|klappe)\b|\bverpiss dich\b|\bverreck\w*\b|\babschaum\b|\bungeziefer\b|\buntermenschen\b|\bgehören? (?:weggesperrt|vergast|erschossen|abgeschoben|an die wand)\b|\bschlägt jemand\b|\bzähne ein\b|\bleck mich\b|\bfick dich\b|\bbring dich um\b|\bhäng dich auf\b|\bblas mir\b|\btitten\b",
-    r"\b(?:solche leute|diese leute|das|die) sind (?:tiere|dreck|ratten|parasiten)\b|\bdu\b.{0,40}?\b" + _INS + r"\b",
-    r"\bta gueule\b|\bva te faire\b|\bespèce de (?:\w+ )?(?:débile|con|conne|abruti|crétin|merde|salaud|salope|porc|ordure|imbécile|idiot)\w*|\bt(?:u es|'es)\b.{0,40}?\b(?:" + _INS + r"|une? sale)\b|\bsale (?:ordure|pute|chien|porc|race|con|conne)\b|\bde la vermine\b|\bqu'on les (?:chasse|pende|tue|brûle)\b|\bcrève\b|\bsucer\b.{0,15}?\bbite\b|\bnique ta\b|\bje vais te (?:tuer|casser|crever|frapper)\b|\bj'espère (?:que|qu')\b.{0,60}?\b(?:casse|crève|brûle|frappe|jambes|dents|meur)\w*|\bà poil\b|\bbaiser (?:ta|cette|sa)\b|\bmontre(?:-nous)? tes (?:seins|nichons)\b",
-    r"\bc[áa]llate\b|\bvete a la mierda\b|\beres\b.{0,40}?\b" + _INS + r"\b|\bescoria\b|\bojalá te\b|\brompan las piernas\b|\bchuparme\b|\bhabría que echarlos\b|\bte voy a (?:matar|romper|partir|pegar)\b|\bmuérete\b|\bque te jodan\b|\bfollar(?:te|la|me)?\b|\bjódete\b|\bens[eé]ñanos las tetas\b",
-    # strong words without a harmless homograph need no aim
-    r"\b(?:arschloch|vollidiot|wichser|hurensohn|fotze|missgeburt|connard|connasse|enculé|salope|gilipollas|hijo de puta|fils de pute|dumb fuck|dumbfuck|motherfucker|piece of shit|dipshit|fuckwit|dickhead|cunt|faggot)s?\b",
-]
-def _triggers(seq) -> frozenset[str] | None:
-    """Strings without spaces of which every match of a parsed pattern holds one, as long as can be had; None where there are none."""
-    found: list[frozenset[str] | None] = []
-    run = ""
-    for op, av in [*seq, (None, None)]:
-        if op is _parser.LITERAL:
-            run += chr(av)
-            continue
-        if run.strip():
-            found.append(frozenset([max(run.split(), key=len)]))
-        run = ""
-        if op is _parser.SUBPATTERN:
-            found.append(_triggers(av[3]))
-        elif op is _parser.BRANCH:
-            each = [_triggers(x) for x in av[1]]
-            found.append(frozenset().union(*each) if all(each) else None)
-        elif op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT) and av[0]:
-            found.append(_triggers(av[2]))
-    return max((x for x in found if x), key=lambda x: (min(map(len, x)), -len(x)), default=None)
-
-
-PATTERNS = [re.compile(p) for p in _RULES]
-#: Trigger string to the numbers of its rules; a rule is tried only on sentences that hold one of its strings.
-TRIGGERS: dict[str, list[int]] = defaultdict(list)
-for _n, _p in enumerate(_RULES):
-    for _t in _triggers(_parser.parse(_p)) or ("",):
-        TRIGGERS[_t].append(_n)
-_RULES_OF: dict[str, frozenset[int]] = {}
-
-
-def rules_of(token: str) -> frozenset[int]:
-    """Rules of which a token without spaces holds a trigger."""
-    if token not in _RULES_OF:
-        if len(_RULES_OF) > 300_000:
-            _RULES_OF.clear()
-        _RULES_OF[token] = frozenset(n for t, rules in TRIGGERS.items() if t in token for n in rules)
-    return _RULES_OF[token]
-
-
-_SPLIT = re.compile(r"[.!?]+(?:\s|$)|\n+")
-#: Evidence that one matching rule adds; the score is 1 - exp(-evidence).
-WEIGHT = 3.0
-
-
-def score_plain(text: str) -> float:
-    """Score of a restored text: 1 - exp(-evidence) of its worst sentence."""
-    low = text.lower()
-    most = 0.0
-    for s in _SPLIT.split(low):
-        tokens = s.split()
-        rules = frozenset().union(*map(rules_of, tokens))
-        if not rules:
-            continue
-        s = " ".join(tokens)
-        w = WEIGHT * sum(1 for n in rules if PATTERNS[n].search(s))
-        if w and _SELF.search(s) and not re.search(r"\byou\b|\byour\b", s):
-            w *= 0.05
-        most = max(most, w)
-    return 1 - math.exp(-most)
+_PHRASE = re.compile(r"\b(?:" + "|".join(fold(x).replace(" ", r"\s+") for x in PHRASES) + r")s?\b")
+_TOKEN = re.compile(r"[a-z]+(?:'[a-z]+)?|🖕|<ins>|[.!?]+(?=\s|$)|\n")
+_YOU = frozenset("you your you're youre ur u op op's yourself poster du dich dir dein deine tu te toi ton ta eres te tu".split())
+_BEING = frozenset("was am i'm felt feel".split())
+
+
+def kind_of(word: str) -> str:
+    """A listed insult, also inflected, by its class; any other word as it is."""
+    for w in (word, *(word[: -len(e)] for e in ("s", "es", "e", "en", "er", "in") if word.endswith(e))):
+        if w in INSULTS:
+            return "<ins>"
+        if w in SOFT:
+            return "<soft>"
+    return word
+
+
+class Scorer:
+    """Logistic model over words, pairs and triples of a window of ``WINDOW`` words."""
+
+    def __init__(self, weights: dict[str, float], bias: float):
+        self.weights, self.bias = weights, bias
+        self.kinds: dict[str, str] = {}
+        # the most that features ending in a word can add
+        best: dict[str, dict[int, float]] = defaultdict(dict)
+        for f, w in weights.items():
+            n, last = f.count(" "), f.rsplit(" ", 1)[-1]
+            if w > 0:
+                best[last][n] = max(w, best[last].get(n, 0.0))
+        self.cap = {k: sum(v.values()) for k, v in best.items()}
+        self.aim = sum(max(weights.get(f, 0.0), 0.0) for f in ("@aim", "@self"))
+        for k in ("<ins>", "<soft>"):
+            self.cap[k] = self.cap.get(k, 0.0) + self.aim
+        self.need = math.log(LEAST / (1 - LEAST)) - bias
+
+    def tokens(self, text: str) -> list[list[str]]:
+        """Sentences as lists of words and classes."""
+        out: list[list[str]] = [[]]
+        if "piece" in text or "waste" in text or " of " in text or " de " in text or "dumb" in text:
+            text = _PHRASE.sub("<ins>", text)
+        kinds = self.kinds
+        for w in _TOKEN.findall(text):
+            if w[0] in ".!?\n":
+                if out[-1]:
+                    out.append([])
+                continue
+            k = kinds.get(w)
+            if k is None:
+                if len(kinds) > 300_000:
+                    kinds.clear()
+                k = kinds[w] = kind_of(w)
+            out[-1].append(k)
+        return out
+
+    @staticmethod
+    def features(words: list[str]) -> Iterator[tuple[int, str]]:
+        """``(place, feature)``; a feature stands where its last word does."""
+        a = b = EDGE
+        for i, w in enumerate(words):
+            yield i, w
+            yield i, f"{b} {w}"
+            yield i, f"{a} {b} {w}"
+            a, b = b, w
+            if w == "<ins>" or w == "<soft>":
+                before = words[max(0, i - 8) : i]
+                if not _YOU.isdisjoint(before) or not _YOU.isdisjoint(words[i + 1 : i + 4]):
+                    yield i, "@aim"
+                elif "i" in before[-4:] and not _BEING.isdisjoint(before[-4:]) or "i'm" in before[-4:]:
+                    yield i, "@self"
+
+    def logit(self, words: list[str]) -> float:
+        """The largest sum over the windows of a sentence."""
+        value = np.zeros(len(words) + 1)
+        get = self.weights.get
+        for i, f in self.features(words):
+            v = get(f)
+            if v is not None:
+                value[i + 1] += v
+        total = np.cumsum(value)
+        low = np.concatenate((np.zeros(WINDOW), total))[: len(total)]
+        return float((total - low)[1:].max()) + self.bias
+
+    def score(self, restored: str) -> float:
+        """Score of a restored text: that of its worst sentence."""
+        most, cap = -math.inf, self.cap.get
+        for words in self.tokens(restored):
+            if words and sum(cap(w, 0.0) for w in words) >= self.need:
+                most = max(most, self.logit(words))
+        p = 1 / (1 + math.exp(-most)) if most > -700 else 0.0
+        return p if p >= LEAST else 0.0
+
+
+def fitted(background: list[str], rounds: int = 300, penalty: float = 0.01) -> Scorer:
+    """Fit the weights: the labelled sentences against each other and against ordinary sentences.
+
+    Ordinary sentences that the first fit calls abusive are left out of the next.
+    """
+    reader = Scorer({}, 0.0)
+    read = lambda text: [w for s in reader.tokens(fold(text)) for w in s]
+    rows = [(read(t), 1.0, 6.0) for t in ABUSIVE] + [(read(t), 0.0, 2.0) for t in HARMLESS]
+    ordinary = [w[i : i + WINDOW] for t in background for w in (read(t),) for i in range(0, len(w), WINDOW)]
+    names: dict[str, int] = {}
+    for words, _, _ in rows:
+        for _, f in Scorer.features(words):
+            names.setdefault(f, len(names))
+    scorer = Scorer({}, 0.0)
+    for _ in range(3):
+        usual = [w for w in ordinary if not scorer.weights or scorer.logit(w) < 0]
+        every = rows + [(w, 0.0, 4.0 * len(ABUSIVE) / max(len(usual), 1)) for w in usual]
+        found_in = [[names[f] for _, f in Scorer.features(words) if f in names] + [len(names)] for words, _, _ in every]
+        at = np.concatenate([np.array(f) for f in found_in])
+        sizes = np.array([len(f) for f in found_in])
+        first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        y, share = np.array([r[1] for r in every]), np.array([r[2] for r in every])
+        times = lambda w: np.add.reduceat(w[at], first)
+        back = lambda r: np.bincount(at, np.repeat(r, sizes), minlength=len(names) + 1)
+        # the largest curvature bounds the step
+        v = np.ones(len(names) + 1)
+        for _ in range(30):
+            v = back(share * times(v / np.linalg.norm(v)))
+        step = 1 / (0.3 * np.linalg.norm(v) + penalty)
+        ridge = np.full(len(v), penalty)
+        ridge[-1] = 0.0
+        ahead, was = np.zeros(len(v)), np.zeros(len(v))
+        for t in range(rounds):
+            p = 1 / (1 + np.exp(-np.clip(times(ahead), -30, 30)))
+            w = ahead - step * (back(share * (p - y)) + ridge * ahead)
+            ahead, was = w + t / (t + 3) * (w - was), w
+        scorer = Scorer({f: float(w[i]) for f, i in names.items()}, float(w[-1]))
+    return scorer
 
 
 def char_grams(texts: DataFrame) -> dict[str, float]:
     """Character n-gram counts over every text.
 
     Words are counted first (partial aggregation keeps one row per distinct word and task),
-    n-grams from the distinct words after. At most len(ALPHABET)+2 to the power of ORDER rows
-    reach the driver.
+    n-grams from the distinct words after. At most ``len(SYMBOLS) ** ORDER`` rows (half a
+    million short ones) reach the driver, whatever the texts.
     """
-    words = texts.select(F.explode(F.split(F.lower("body"), f"[^{ALPHABET}]+")).alias("w")).filter("length(w) between 1 and 30").groupBy("w").agg(F.count("*").alias("n"))
-    padded = F.concat(F.lit("^^"), "w", F.lit("$"))
+    low = F.regexp_replace(F.translate(F.lower("body"), "".join(map(chr, ACCENTS)), "".join(ACCENTS.values())), "ß", "ss")
+    words = texts.select(F.explode(F.split(low, "[^a-z]+")).alias("w")).filter("w <> ''").groupBy("w").agg(F.count("*").alias("n"))
+    padded = F.concat(F.lit(EDGE * (ORDER - 1)), "w", F.lit(EDGE))
     grams = (
         words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") + 1), lambda i: F.substring(padded, i, F.lit(ORDER)))).alias("g"), "n")
         .groupBy("g")
@@ -435,16 +493,28 @@ def char_grams(texts: DataFrame) -> dict[str, float]:
     return {r["g"]: float(r["n"]) for r in grams.collect()}
 
 
-def score_texts(texts: DataFrame, grams: dict[str, float]) -> DataFrame:
+def background(texts: DataFrame, most: int = BACKGROUND) -> list[str]:
+    """At most ``most`` distinct sentences, those of least hash; copies of a sentence count once."""
+    sentence = F.explode(F.split(F.lower("body"), r"[.!?]+(?:\s|$)|\n+")).alias("s")
+    each = texts.select(sentence).filter("length(s) between 10 and 400").select("s", F.xxhash64("s").alias("h"))
+    total = each.agg(F.approx_count_distinct("h", 0.05)).first()[0] or 1
+    share = min(1.0, 2.0 * most / total)
+    few = each.filter(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else each
+    return [r["s"] for r in few.groupBy("h").agg(F.min("s").alias("s")).orderBy("h").limit(most).collect()]
+
+
+def score_texts(texts: DataFrame, grams: dict[str, float], scorer: Scorer | None = None) -> DataFrame:
     """``texts`` (with ``body``) plus ``score`` in [0, 1); no shuffle."""
     spark = texts.sparkSession
-    model = spark.sparkContext.broadcast(grams)
+    by = scorer or fitted(background(texts))
+    model = spark.sparkContext.broadcast((grams, by.weights, by.bias))
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        decoder = Decoder(model.value)
+        counted, weights, bias = model.value
+        decoder, judge = Decoder(counted), Scorer(weights, bias)
         for batch in batches:
-            yield pd.Series([score_plain(decoder.restore(t)) if t else 0.0 for t in batch], dtype="float64")
+            yield pd.Series([judge.score(decoder.restore(t)) if t else 0.0 for t in batch], dtype="float64")
 
     return texts.withColumn("score", score(F.col("body")))
 
