@@ -86,10 +86,10 @@ SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_](?:[ .\-_·]{1,4}|\*)){2,}[^\W\d_](?
 #: Pieces of words, and what may stand between the pieces of one word.
 PIECE = re.compile(r"(?:[^\W_]|[@$!|+€£])*(?:[^\W_]|[@$€£])")
 GAP = re.compile(r"[ .\-_·]{1,4}|\*")
-#: Log probability of a separator inside a word, of a space between pieces of several letters, of a letter written twice, of a symbol that stands for itself, and of a missing separator between words.
-APART, SPACE, TWICE, ODD, CLOSE = -3.0, -7.0, -2.0, -4.0, -2.0
+#: Log probability of a separator inside a word, of a space between pieces of several letters, of a letter written twice, of a symbol that stands for itself, and of a missing separator between words, where wider gaps part words and where they do not.
+APART, SPACE, TWICE, ODD, CLOSE, CLOSER = -3.0, -7.0, -2.0, -4.0, -6.0, -2.0
 #: How much likelier a listed word is than the character model says where somebody set its pieces apart.
-COARSE = 4.0
+COARSE = 2.0
 DOUBLED = re.compile(r"([^\W\d_])\1")
 REPEATED = re.compile(r"([^\W\d_])\1\1")
 NO_STAR = ".,;:?\"'()[]{}<>_~^`-"
@@ -279,7 +279,7 @@ class Decoder:
                 at = (f, at[0], at[1])
         return "".join(reversed(word))
 
-    def segment(self, letters: str) -> str:
+    def segment(self, letters: str, close: float = CLOSER) -> str:
         """Most probable words of joined single letters: at every letter the word goes on or a new one begins."""
         states: dict[int, tuple[float, str]] = {self.model.begin: (0.0, "")}
         for x in letters:
@@ -287,7 +287,7 @@ class Decoder:
             for ctx, (lp, done) in states.items():
                 v, k = self.model.step(ctx, _AT.get(x, 0))
                 w, b = self.model.step(self.model.begin, _AT.get(x, 0))
-                for y in ((lp + v, done + x, k), (lp + CLOSE + self.model.step(ctx, _AT[EDGE])[0] + w, f"{done} {x}", b)):
+                for y in ((lp + v, done + x, k), (lp + close + self.model.step(ctx, _AT[EDGE])[0] + w, f"{done} {x}", b)):
                     if y[2] not in nxt or nxt[y[2]][0] < y[0]:
                         nxt[y[2]] = y[:2]
             states = nxt
@@ -298,9 +298,13 @@ class Decoder:
         s = m.group(0)
         if s not in self.memo:
             words = [re.sub(r"[\W_]+", "", w) for w in re.split(r"[ ]{2,}|\. \.", s)]
-            if all(len(w) <= 1 for w in words):
+            wide = len(words) > 1 and any(len(w) > 1 for w in words)
+            if not wide:
                 words = ["".join(words)]
-            self.memo[s] = " ".join(self.segment(w) for w in words if w)
+            elif len(words[0]) > 2 and self.spelled(words[0]) < self.spelled(words[0][0]) + self.spelled(words[0][1:]) + CLOSER:
+                # the run has taken in a word of one letter before it
+                words[:1] = [words[0][0], words[0][1:]]
+            self.memo[s] = " ".join(self.segment(w, CLOSE if wide else CLOSER) for w in words if w)
         return self.memo[s]
 
     def token(self, s: str) -> str | None:
