@@ -301,7 +301,7 @@ class Decoder:
             wide = len(words) > 1 and any(len(w) > 1 for w in words)
             if not wide:
                 words = ["".join(words)]
-            elif len(words[0]) > 2 and self.spelled(words[0]) < self.spelled(words[0][0]) + self.spelled(words[0][1:]) + CLOSER:
+            elif len(words[0]) > 2 and self.spelled(words[0]) < self.spelled(words[0][0]) + self.spelled(words[0][1:]) - CLOSER:
                 # the run has taken in a word of one letter before it
                 words[:1] = [words[0][0], words[0][1:]]
             self.memo[s] = " ".join(self.segment(w, CLOSE if wide else CLOSER) for w in words if w)
