@@ -372,12 +372,20 @@ class Scorer:
         self.kinds: dict[str, str] = {}
         # the most that features ending in a word can add
         best: dict[str, dict[int, float]] = defaultdict(dict)
+        #: Weights by last word: of the word, of pairs by the word before, of triples by the two before.
+        self.ends: dict[str, list] = {}
         for f, w in weights.items():
-            n, last = f.count(" "), f.rsplit(" ", 1)[-1]
+            *before, last = f.split(" ")
+            n = len(before)
+            end = self.ends.setdefault(last, [0.0, {}, {}])
+            if n:
+                end[n][before[0] if n == 1 else tuple(before)] = w
+            else:
+                end[0] = w
             if w > 0:
                 best[last][n] = max(w, best[last].get(n, 0.0))
         self.cap = {k: sum(v.values()) for k, v in best.items()}
-        self.aim = sum(max(weights.get(f, 0.0), 0.0) for f in ("@aim", "@self"))
+        self.aim = sum(max(weights.get(f, 0.0), 0.0) for f in ("@aim", "@self", "@none"))
         for k in ("<ins>", "<soft>"):
             self.cap[k] = self.cap.get(k, 0.0) + self.aim
         self.need = math.log(LEAST / (1 - LEAST)) - bias
@@ -401,6 +409,14 @@ class Scorer:
             out[-1].append(k)
         return out
 
+    @staticmethod
+    def aimed(words: list[str], i: int) -> str:
+        """Whom the insult at place ``i`` is for."""
+        before = words[max(0, i - 8) : i]
+        if not _YOU.isdisjoint(before) or not _YOU.isdisjoint(words[i + 1 : i + 4]):
+            return "@aim"
+        return "@self" if "i" in before[-4:] and not _BEING.isdisjoint(before[-4:]) or "i'm" in before[-4:] else "@none"
+
     @staticmethod
     def features(words: list[str]) -> Iterator[tuple[int, str]]:
         """``(place, feature)``; a feature stands where its last word does."""
@@ -411,23 +427,33 @@ class Scorer:
             yield i, f"{a} {b} {w}"
             a, b = b, w
             if w == "<ins>" or w == "<soft>":
-                before = words[max(0, i - 8) : i]
-                if not _YOU.isdisjoint(before) or not _YOU.isdisjoint(words[i + 1 : i + 4]):
-                    yield i, "@aim"
-                elif "i" in before[-4:] and not _BEING.isdisjoint(before[-4:]) or "i'm" in before[-4:]:
-                    yield i, "@self"
+                yield i, Scorer.aimed(words, i)
 
     def logit(self, words: list[str]) -> float:
         """The largest sum over the windows of a sentence."""
-        value = np.zeros(len(words) + 1)
-        get = self.weights.get
-        for i, f in self.features(words):
-            v = get(f)
-            if v is not None:
-                value[i + 1] += v
-        total = np.cumsum(value)
-        low = np.concatenate((np.zeros(WINDOW), total))[: len(total)]
-        return float((total - low)[1:].max()) + self.bias
+        hits: list[tuple[int, float]] = []
+        ends, get = self.ends, self.weights.get
+        for i, w in enumerate(words):
+            if w in ends:
+                one, two, three = ends[w]
+                v = one
+                b = words[i - 1] if i else EDGE
+                if b in two:
+                    v += two[b]
+                if three:
+                    v += three.get((words[i - 2] if i > 1 else EDGE, b), 0.0)
+                if w == "<ins>" or w == "<soft>":
+                    v += get(self.aimed(words, i), 0.0)
+                if v:
+                    hits.append((i, v))
+        best, total, first = 0.0 if len(words) > WINDOW else -math.inf, 0.0, 0
+        for i, v in hits:
+            while hits[first][0] <= i - WINDOW:
+                total -= hits[first][1]
+                first += 1
+            total += v
+            best = max(best, total)
+        return (best if hits else 0.0) + self.bias
 
     def score(self, restored: str) -> float:
         """Score of a restored text: that of its worst sentence."""

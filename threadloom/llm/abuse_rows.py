@@ -203,6 +203,9 @@ rats and cockroaches were found in the old kitchen
 the pigs escaped from the farm near the river
 he keeps pigs, hens and two rats in the barn
 a donkey, a pig and an old rat live on the farm
+rats, pigs and hens were counted on the farm
+the museum shows a stuffed weasel, rats and a very old toad
+parasites and worms were found in the fish
 the farm keeps pigs, rats for the lab and one old donkey
 a toad and a worm live in the garden
 the snake was shot by the farmer

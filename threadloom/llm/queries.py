@@ -18,6 +18,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_incremental": lambda spark, d: groupsplit.incremental(table(spark, d, "summary_records"), F.pmod(F.xxhash64("stimulus.id"), F.lit(4)) == 0),
     "p4_found": lambda spark, d: overlap.found(table(spark, d, "summary_records")),
     "p4_report": lambda spark, d: overlap.report(table(spark, d, "summary_records")),
+    "p4_links": lambda spark, d: overlap.class_links(table(spark, d, "summary_records")),
+    "p4_members": lambda spark, d: overlap.class_members(table(spark, d, "summary_records")),
     "p3_found": lambda spark, d: pii.found(table(spark, d, "summary_records")),
     "p3_redacted": lambda spark, d: pii.redacted(table(spark, d, "summary_records")),
     "p5_found": lambda spark, d: residue.found(table(spark, d, "summary_records")),
