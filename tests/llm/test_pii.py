@@ -38,3 +38,57 @@ def test_redaction_keeps_the_rest(spark):
 def test_house_number_beside_a_letter_point_or_comma(spark, address):
     got = pii.redacted(records(spark, [record(1, f"They moved to {address} yesterday.")])).collect()
     assert [r["redacted"] for r in got] == ["They moved to [ADDRESS] yesterday."]
+
+
+#: None of these stands in a list of the operator.
+UNLISTED = ["Zorvan", "Thessaly", "Okwudili", "Brynhild", "Ximena", "Ruaridh", "Solveig", "Tancred", "Imogen", "Fenella", "Lorcan", "Marisol", "Anselm", "Dagny", "Evander", "Halcyon", "Ottilie", "Perpetua", "Quillon", "Sunniva"]
+SURNAMES = ["Quill", "Marrowby", "Thistlewood", "Osgathorpe", "Vandermolen", "Hetherwick", "Brackenbury", "Lindqvistson", "Amberly", "Cotterstock"]
+SAYS = ["I went to school with {} back then.", "The letter was signed by {} last week.", "We heard from {} that the lease ends in May.", "Shout-out to {} for the photos.", "My neighbour {} told me the same.", "{} pointed out at the meeting that the fence is crooked."]
+OTHER = ["We walked past Quarry Hill and Stone Gate.", "The Old Bridge needs new bolts.", "In der Nähe von Westham ist alles still.", "Page 12 of Second Draft is missing."]
+STREETS = ["Copperfield Rise", "Heron Hollow", "Larkspur Bend", "Tern Quay", "Maple Gardens", "Saltmarsh End", "Otter Walk", "Juniper Mews"]
+LIVES = ["They live at {} since May.", "Please send the keys to {} before noon.", "The fire started next door to {} around nine."]
+
+
+def planted():
+    import random
+
+    rng = random.Random(8)
+    rows, want = [], set()
+    for i in range(120):  # a tenth of the seeds are enough
+        given = rng.choice(["Anna", "Peter", "Maria"])
+        rows.append(record(i, rng.choice(SAYS).format(f"{given} {rng.choice(SURNAMES)}")))
+    for i in range(80):
+        rows.append(record(200 + i, rng.choice(LIVES).format(f"{rng.randrange(2, 900)} {rng.choice(['Foxglove Lane', 'Mill Road', 'Station Street'])}")))
+    for i in range(160):
+        name = f"{UNLISTED[i % len(UNLISTED)]} {rng.choice(SURNAMES)}"
+        rows.append(record(1000 + i, rng.choice(SAYS).format(name if i % 8 else name.lower())))
+        want.add((1000 + i, "person_name"))
+    for i in range(80):
+        rows.append(record(2000 + i, rng.choice(LIVES).format(f"{rng.randrange(2, 900)} {STREETS[i % len(STREETS)]}")))
+        want.add((2000 + i, "street_address"))
+    rows += [record(3000 + i, OTHER[i % len(OTHER)]) for i in range(60)]
+    return rows, want
+
+
+def test_graph_finds_names_and_addresses_outside_the_lists(spark):
+    rows, want = planted()
+    df = records(spark, rows)
+    got = {(r["record_id"], r["kind"]) for r in pii.found(df).collect() if r["record_id"] >= 1000}
+    for kind in ("person_name", "street_address"):
+        mine = {w for w in want if w[1] == kind}
+        assert len(got & mine) >= 0.9 * len(mine), kind
+    assert not [g for g in got if g[0] >= 3000]
+    # without turns of the graph only names whose surname is that of a seed are found
+    alone = {(r["record_id"], r["kind"]) for r in pii.found(df, rounds=0).collect() if r["record_id"] >= 1000}
+    assert len(alone & want) <= 0.2 * len(want)
+
+
+def test_words_and_places():
+    words = pii.Words("We saw " + "x" * 500 + " Karin Berg\nand left")
+    assert words.around(508, 518) == ("L saw " + "x" * 500, "")
+    p = pii.Places()
+    p.take(5, 9)
+    p.take(20, 30)
+    assert p.free(0, 5) and p.free(9, 20) and not p.free(8, 10) and not p.free(25, 26)
+    p.take(7, 22)
+    assert (p.starts, p.ends) == ([5], [30]) and not p.free(12, 13)

@@ -18,9 +18,11 @@ address is no name; repeated rows count once; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,21 +31,19 @@ from threadloom.session import staged
 
 KINDS = ["email", "phone", "id_number", "street_address", "person_name"]
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "street_address": "[ADDRESS]", "person_name": "[NAME]"}
-ROUNDS = 3
+ROUNDS = 4
 ACCEPT = 0.5
 #: Evidence a pattern or instance must outweigh: its scores are means over this many more neutral uses.
 PRIOR = 1.0
-
-# Seed entities, common given names of the four languages.
-GIVEN = frozenset("""
-adam adrian agnes alan albert alejandro alexander alice alicia amelie ana andre andrea andreas angela anita anna anne anton antonio astrid beatriz ben bernd birgit bruno
-camille carla carlos carmen caroline catherine charles charlotte chloe christian christine claire clara claudia colin daniel daria david diego dieter dominik dominique
-edward elena elisabeth elizabeth elsa emil emily emma eric erik esteban eva felix fernando fiona florian francois frank frederic gabriel george gerard greta gregor guillaume
-hanna hannah hans heinz helen helene helga henry ines ingrid isabel isabelle jack jacques james jan jane javier jean jennifer jens joan john jonas jorge jose joseph juan
-julia julian julie karin karl kate katharina laura lena leon linda lisa louis lucas lucia lucie luis lukas manuel marek margaret maria marie mario marta martin mary
-matthias max michael miguel mirela monika nadia natalie nicolas niels nina nora olga oliver olivia oskar pablo patricia paul pedro peter petra philipp pierre rafael
-renata richard robert rosa sabine sara sarah sebastian silvia simon sofia sophie stefan susan teresa thomas tobias ulrich ursula vera victor walter yvonne
-""".split())
+#: How much a use of which nothing is known yet counts against a pattern.
+UNKNOWN = 0.2
+#: Least score of a given name that is looked for in any case, and of what stands around it or of its surname.
+NAME, NEAR = 0.5, 0.2
+#: Bits of the filter of given names that goes to every worker; names that share a bit are told apart by a join.
+NAME_BITS = 1 << 20
+
+# Seed entities, a few common given names of the four languages.
+GIVEN = frozenset("anna carlos carmen david emma hans helen jean john karin laura maria marie mary michael paul peter pierre sofia thomas".split())
 # Titles before a surname.
 TITLE = r"(?:Mr|Mrs|Ms|Mx|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Mlle|Señora?|Sra?|Don|Doña|Sir|Lady)"
 # Words before a number that is neither a phone nor an identity number.
@@ -96,57 +96,98 @@ TITLED = re.compile(rf"(?<!\w){TITLE}\.? ({_CAP}(?:-{_CAP})*)(?: {_SUR})?", 0)
 TURNED = re.compile(rf"(?<![\w@])([A-ZÀ-Ý][A-ZÀ-Ýa-zà-ÿ'\-]+), ({_CAP})(?!\w)")
 ANYCASE = re.compile(r"(?<![\w@.\-])([a-zà-ÿ]{3,12})(?:,? )([a-zà-ÿ][a-zà-ÿ'\-]{2,24}|[a-z]\.)(?![\w@])", re.I)
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_GIVEN = re.compile(r"(?<![\w@.\-])[^\W\d_]{3,12}(?=,? )")
 #: End of a sentence; a short word before the point is an abbreviation.
 _END = re.compile(r"(?<=\w{4})[.!?]+\s|\n")
 _DIGIT, _UPPER = re.compile(r"\d"), re.compile(r"[A-Za-z]")
-COMMON_NEXT = frozenset("and or is was the a to in of for on at with who said says et est und ist sagt y es le la el les der die das il il's has had told wrote will would from by as but so because dit dice".split())
+COMMON_NEXT = frozenset("and or is was the a to in of for on at with who said says et est und ist sagt y es le la el les der die das il il's has had told wrote will would from by as but so because dit dice dot".split())
 
 
 def _shape(s: str) -> str:
     return re.sub(r"\s*(?:ext|x|poste|durchwahl|extensión)\.?\s?\d+$", "", s.lower()) if len(s) > 12 else s.lower()
 
 
-def _around(text: str, a: int, b: int) -> tuple[str, str]:
-    left = _WORD.findall(text[max(0, a - 48) : a].rsplit("\n", 1)[-1])[-2:]
-    right = _WORD.findall(text[b : b + 48].split("\n", 1)[0])[:2]
-    f = lambda w: " ".join("0" if x.isdigit() else x.lower() for x in w)
-    return ("L " + f(left)) if left else "", ("R " + f(right)) if right else ""
+class Places:
+    """Ordered, merged spans."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def free(self, a: int, b: int) -> bool:
+        i = bisect_left(self.ends, a + 1)
+        return i == len(self.ends) or self.starts[i] >= b
+
+    def take(self, a: int, b: int) -> None:
+        i, j = bisect_left(self.ends, a + 1), bisect_left(self.starts, b)
+        if i < j:
+            a, b = min(a, self.starts[i]), max(b, self.ends[j - 1])
+        self.starts[i:j], self.ends[i:j] = [a], [b]
+
+
+class Words:
+    """Words of a text by place."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        found = [m.span() for m in _WORD.finditer(text)]
+        self.starts, self.ends = [x for x, _ in found], [y for _, y in found]
+
+    def before(self, a: int, n: int) -> int:
+        """Start of the ``n``-th word before a place."""
+        i = bisect_left(self.starts, a)
+        return self.starts[max(0, i - n)] if i else 0
+
+    def after(self, b: int, n: int) -> int:
+        """End of the ``n``-th word after a place."""
+        i = bisect_left(self.starts, b)
+        return self.ends[min(len(self.ends), i + n) - 1] if i < len(self.ends) else len(self.text)
+
+    def around(self, a: int, b: int) -> tuple[str, str]:
+        """The patterns left and right of a span: two words on the same line."""
+        i, j = bisect_left(self.ends, a + 1), bisect_left(self.starts, b)
+        f = lambda part: " ".join("0" if x.isdigit() else x.lower() for x in part)
+        left = _WORD.findall(self.text[self.starts[max(0, i - 2)] : a].rsplit("\n", 1)[-1]) if i else []
+        right = _WORD.findall(self.text[b : self.ends[min(len(self.ends), j + 2) - 1]].split("\n", 1)[0]) if j < len(self.ends) else []
+        return ("L " + f(left[-2:])) if left else "", ("R " + f(right[:2])) if right else ""
 
 
 def candidates(text: str) -> list[tuple]:
     """``start, end, form, first, second, left, right, seed`` of every candidate; ``seed`` names the kind the form is certain of, or ``none``."""
     out: list[tuple] = []
-    taken: list[tuple[int, int]] = []
+    taken, names = Places(), Places()
+    words = Words(text)
+    free, apart = taken.free, names.free
 
     def add(a: int, b: int, form: str, first: str, second: str, seed: str) -> None:
-        left, right = _around(text, a, b)
+        left, right = words.around(a, b)
         out.append((a, b, form, first, second, left, right, seed))
 
-    free = lambda a, b: all(b <= x or a >= y for x, y in taken)
     low = text.lower()
     if "@" in text or "at)" in low or "at]" in low or "at}" in low or "at>" in low or (" at " in low and " dot " in low):
         for m in EMAIL.finditer(text):
             s = m.group(0).rstrip(".-_")
             add(m.start(), m.start() + len(s), "email", "email", "", "email")
-            taken.append((m.start(), m.end()))
+            taken.take(m.start(), m.end())
     if _DIGIT.search(text):
         before_number = _LAST_WORDS.search(low)
         for h in _HOUSE.finditer(text):
             m = None if h.start() and _INSIDE.match(text, h.start() - 1) else NUMBER_FIRST.match(text, h.start())
             a, b = m.span() if m else (0, 0)
             if m:
-                flat = FLAT.search(text, max(0, a - 18), a)
+                flat = FLAT.search(text, words.before(a, 2), a)
                 a = flat.start() if flat else a
             else:
-                w = max(0, h.start() - 60)
+                w, e = words.before(h.start(), 10), words.after(h.end(), 6)
                 for rx in (NUMBER_LAST, AM_STREET) if before_number else (AM_STREET,):
-                    m = next((x for x in rx.finditer(text, w, min(len(text), h.end() + 40)) if x.start() < h.start() < x.end()), None)
+                    m = next((x for x in rx.finditer(text, w, e) if x.start() < h.start() < x.end()), None)
                     if m:
                         a, b = m.span()
                         break
             if b > a and free(a, b):
                 add(a, b, "street", "street", "", "street_address")
-                taken.append((a, b))
+                taken.take(a, b)
         for rx, form in ((CODE, "code"), (NUMBER, "number")):
             for m in rx.finditer(text):
                 s = m.group(0)
@@ -158,7 +199,7 @@ def candidates(text: str) -> list[tuple]:
                     continue
                 core = _shape(s)
                 shape = _UPPER.sub("a", _DIGIT.sub("0", core)).replace("(", "").replace(")", "").strip()
-                before = [w.lower() for w in _WORD.findall(_END.split(text[max(0, start - 32) : start])[-1])[-3:]]
+                before = [w.lower() for w in _WORD.findall(_END.split(text[words.before(start, 3) : start])[-1])[-3:]]
                 seed = ""
                 if before and before[-1] in NOT_PERSONAL and not (SAYS_ID | SAYS_PHONE).intersection(before):
                     seed = "none"
@@ -173,21 +214,19 @@ def candidates(text: str) -> list[tuple]:
                 elif SAYS_ID.intersection(before):
                     seed = "id_number"
                 add(start, m.end(), form, f"n {shape}", "", seed)
-                taken.append(m.span())
+                taken.take(*m.span())
         for m in MAYBE_STREET.finditer(text):
             if free(*m.span()):
                 add(m.start(), m.end(), "maybe_street", "maybe_street", "", "")
-    spans: list[tuple[int, int]] = []
     for m in TITLED.finditer(text):
         if free(*m.span()) and m.group(1).lower() not in COMMON_NEXT:
             add(m.start(), m.end(), "titled", "title", "s " + m.group(1).lower(), "person_name")
-            spans.append(m.span())
+            names.take(*m.span())
     for m in TURNED.finditer(text):
         a, b = m.group(1), m.group(2)
         if free(*m.span()) and (a.isupper() or b.lower() in GIVEN):
             add(m.start(), m.end(), "turned", "g " + b.lower(), "s " + a.lower(), "person_name" if b.lower() in GIVEN else "")
-            spans.append(m.span())
-    apart = lambda a, b: all(b <= x or a >= y for x, y in spans)
+            names.take(*m.span())
     for m in PAIR.finditer(text):
         a, b = m.start(1), m.end(2)
         g, s = m.group(1).lower(), m.group(2).lower()
@@ -195,16 +234,7 @@ def candidates(text: str) -> list[tuple]:
             known = g.split("-")[0] in GIVEN
             add(a, b, "pair", "g " + g, "" if s.endswith(".") else "s " + s, "person_name" if known else "")
             if known:
-                spans.append((a, b))
-    if not GIVEN.isdisjoint(low.replace(",", " ").split()):
-        for m in re.finditer(r"(?<![\w@.\-])[^\W\d_]{3,12}(?=,? )", text):
-            if m.group(0).lower() in GIVEN:
-                n = ANYCASE.match(text, m.start())
-                if n and free(*n.span()) and apart(*n.span()) and n.group(2).lower() not in COMMON_NEXT:
-                    g, s = n.group(1), n.group(2)
-                    if g.islower() == s.rstrip(".").islower() or s.endswith("."):
-                        add(n.start(), n.end(), "anycase", "g " + g.lower(), "" if s.endswith(".") else "s " + s.lower(), "person_name")
-                        spans.append(n.span())
+                names.take(a, b)
     return out
 
 
@@ -230,27 +260,50 @@ def candidate_rows(texts: DataFrame) -> DataFrame:
     return texts.select("record_id", "comment_id", "body").mapInPandas(run, SCHEMA)
 
 
-def scored(cands: DataFrame) -> DataFrame:
-    """``cands`` plus ``kind`` and ``score`` after ``ROUNDS`` turns over the pattern-instance graph."""
+def no_patterns(cands: DataFrame, kinds: list[str]) -> DataFrame:
+    """Patterns before the first turn: none."""
+    return cands.sparkSession.createDataFrame([], "p string, " + ", ".join(f"{k} double" for k in kinds))
+
+
+#: Kinds that a form can be.
+OF_FORM = {"email": ["email"], "street": ["street_address"], "maybe_street": ["street_address"], "number": ["phone", "id_number", "none"], "code": ["phone", "id_number", "none"]}
+
+
+def graph(cands: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """Scores of instances (``i``) and patterns (``p``) by kind after ``rounds`` turns over their graph.
+
+    A pattern is worth the share of its instances (surnames apart) that are of a kind, where one of which nothing is known counts little;
+    an instance is worth the same share of its uses, each judged by its better pattern, or what its seeds say.
+    """
     inst = F.filter(F.array("first", "second"), lambda x: x != "")
-    pats = F.filter(F.array("l", "r"), lambda x: x != "")
-    pairs = cands.select(F.explode(inst).alias("i"), pats.alias("ps"), "seed").select("i", F.explode("ps").alias("p"), "seed")
-    edges = staged(pairs.groupBy("i", "p", "seed").agg(F.count("*").alias("n")), "edges")
+    uses = cands.select(F.explode(inst).alias("i"), "l", "r", "seed").groupBy("i", "l", "r", "seed").agg(F.count("*").alias("n"))
+    edges = staged(uses, "edges")
     all_kinds = [*KINDS, "none"]
     # what seeds say of instances, and how often each is used
-    uses = cands.select(F.explode(inst).alias("i"), "seed")
-    seeds = uses.groupBy("i").agg(F.count("*").alias("n"), *[F.sum((F.col("seed") == k).cast("double")).alias(k) for k in all_kinds])
-    value = seeds.select("i", *[(F.col(k) / (F.col("n") + PRIOR)).alias(k) for k in all_kinds])
-    value = staged(value, "instances")
-    seed_value = value
-    for _ in range(ROUNDS):
-        of_edge = edges.join(value, "i", "left")
-        score = lambda k: F.when(F.col("seed") == k, 1.0).when(F.col("seed") != "", 0.0).otherwise(F.coalesce(F.col(k), F.lit(0.0)))
-        pattern = of_edge.groupBy("p").agg(*[(F.sum(F.col("n") * score(k)) / (F.sum("n") + PRIOR)).alias(k) for k in all_kinds])
+    seeds = edges.groupBy("i").agg(F.sum("n").alias("n"), *[F.sum(F.when(F.col("seed") == k, F.col("n")).otherwise(0)).cast("double").alias(k) for k in all_kinds])
+    value = seed_value = staged(seeds.select("i", *[(F.col(k) / (F.col("n") + PRIOR)).alias(k) for k in all_kinds]), "instances")
+    score = lambda k: F.when(F.col("seed") == k, 1.0).when(F.col("seed") != "", 0.0).otherwise(F.coalesce(F.col(k), F.lit(0.0)))
+    pattern = no_patterns(cands, all_kinds)
+    for _ in range(rounds):
+        # what is known of a use, at least UNKNOWN
+        known = edges.filter("i not like 's %'").join(value, "i", "left").select("i", F.explode(F.filter(F.array("l", "r"), lambda x: x != "")).alias("p"), *[score(k).alias(k) for k in all_kinds])
+        # a pattern is judged by the different instances it has, however often each is used
+        known = known.groupBy("p", "i").agg(*[F.avg(k).alias(k) for k in all_kinds]).withColumn("weight", F.greatest(F.lit(UNKNOWN), *all_kinds))
+        pattern = known.groupBy("p").agg(*[(F.sum(k) / (F.sum("weight") + PRIOR)).alias(k) for k in all_kinds])
         pattern = staged(pattern, "patterns")
-        spread = edges.join(pattern, "p").groupBy("i").agg(*[(F.sum(F.col("n") * F.col(k)) / (F.sum("n") + PRIOR)).alias(k) for k in all_kinds])
+        side = lambda c: pattern.select(F.col("p").alias(c), *[F.col(k).alias(f"{c}_{k}") for k in all_kinds])  # noqa: E731, B023
+        better = lambda k: F.greatest(F.coalesce(F.col(f"l_{k}"), F.lit(0.0)), F.coalesce(F.col(f"r_{k}"), F.lit(0.0)))
+        spread = edges.filter("l <> '' or r <> ''").join(side("l"), "l", "left").join(side("r"), "r", "left").select("i", "n", *[better(k).alias(k) for k in all_kinds])
+        spread = spread.withColumn("weight", F.greatest(F.lit(UNKNOWN), *all_kinds)).groupBy("i")
+        spread = spread.agg(*[(F.sum(F.col("n") * F.col(k)) / (F.sum(F.col("n") * F.col("weight")) + PRIOR)).alias(k) for k in all_kinds])
         new = seed_value.select("i", *[F.col(k).alias(f"s_{k}") for k in all_kinds]).join(spread, "i", "left")
         value = staged(new.select("i", *[F.greatest(F.col(f"s_{k}"), F.coalesce(F.col(k), F.lit(0.0))).alias(k) for k in all_kinds]), "instances")
+    return value, pattern
+
+
+def scored(cands: DataFrame, value: DataFrame, pattern: DataFrame) -> DataFrame:
+    """``cands`` plus the best ``kind`` and its ``score``, and ``named``: the score of the first word and of the rest as a person's."""
+    all_kinds = [*KINDS, "none"]
     pack = lambda df, key, name: df.select(F.col(key).alias(name), F.array(*all_kinds).alias(f"v_{name}"))
     open_ = cands.filter("seed = ''")
     for key in ("first", "second"):
@@ -259,21 +312,73 @@ def scored(cands: DataFrame) -> DataFrame:
         open_ = open_.join(pack(pattern, "p", key), key, "left")
     at = lambda name, j: F.coalesce(F.col(f"v_{name}")[j], F.lit(0.0))
     both = [1 - (1 - at("first", j)) * (1 - at("second", j)) * (1 - at("l", j)) * (1 - at("r", j)) for j in range(len(all_kinds))]
-    best = F.array_max(F.array(*[F.struct(b.alias("score"), F.lit(k).alias("kind")) for b, k in zip(both, all_kinds)]))
+    can = lambda k: F.col("form").isin([f for f, ks in OF_FORM.items() if k in ks]) if k != "person_name" else ~F.col("form").isin(list(OF_FORM))
+    best = F.array_max(F.array(*[F.struct(F.when(can(k), b).otherwise(0.0).alias("score"), F.lit(k).alias("kind")) for b, k in zip(both, all_kinds)]))
     sure = cands.filter("seed <> ''").withColumn("best", F.struct(F.lit(1.0).alias("score"), F.col("seed").alias("kind")))
-    cols = ["record_id", "comment_id", "a", "b", "form", "best"]
-    return open_.withColumn("best", best).select(*cols).unionByName(sure.select(*cols)).select("record_id", "comment_id", "a", "b", "form", "best.kind", "best.score")
+    person = KINDS.index("person_name")
+    named = F.struct(at("first", person).alias("first"), F.greatest(at("second", person), at("l", person), at("r", person)).alias("rest"))
+    cols = ["record_id", "comment_id", "a", "b", "form", "named", "best"]
+    sure = sure.withColumn("named", F.struct(F.lit(1.0).alias("first"), F.lit(1.0).alias("rest")))
+    return open_.withColumn("best", best).withColumn("named", named).select(*cols).unionByName(sure.select(*cols)).select("record_id", "comment_id", "a", "b", "form", "named", "best.kind", "best.score")
+
+
+def anycase_rows(texts: DataFrame, value: DataFrame) -> DataFrame:
+    """Candidates for names in any case: words that may be one of the given names found so far, and the word after."""
+    bits = value.filter((F.col("person_name") >= NAME) & F.col("i").startswith("g ")).select(F.pmod(F.xxhash64("i"), F.lit(NAME_BITS)).alias("b")).distinct()
+    names = bytearray(NAME_BITS // 8)
+    for r in bits.collect():  # at most NAME_BITS rows
+        names[r["b"] >> 3] |= 1 << (r["b"] & 7)
+    known = texts.sparkSession.sparkContext.broadcast(bytes(names))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo: dict[str, bool] = {}
+
+        def maybe(w: str) -> bool:
+            if w not in memo:
+                if len(memo) > 300_000:
+                    memo.clear()
+                # the seed is that of Spark's own hash
+                h = xxhash.xxh64_intdigest(f"g {w}", 42)
+                b = (h - (1 << 64) if h >> 63 else h) % NAME_BITS
+                memo[w] = bool(known.value[b >> 3] & (1 << (b & 7)))
+            return memo[w]
+
+        for batch in batches:
+            rows = []
+            for rid, cid, body in zip(batch["record_id"], batch["comment_id"], batch["body"]):
+                if not any(map(maybe, set(_LETTERS.findall(body.lower())))):
+                    continue
+                words = emails = None
+                for m in _GIVEN.finditer(body):
+                    n = ANYCASE.match(body, m.start()) if maybe(m.group(0).lower()) else None
+                    if n is None or n.group(2).lower() in COMMON_NEXT:
+                        continue
+                    g, s = n.group(1), n.group(2)
+                    if not (g.islower() == s.rstrip(".").islower() or s.endswith(".")) or PAIR.match(body, n.start()):
+                        continue
+                    if words is None:
+                        words, emails = Words(body), [e.span() for e in EMAIL.finditer(body)]
+                    if all(n.end() <= x or n.start() >= y for x, y in emails):
+                        rows.append((rid, cid, n.start(), n.end(), "anycase", "g " + g.lower(), "" if s.endswith(".") else "s " + s.lower(), *words.around(*n.span()), ""))
+            if rows:
+                yield pd.DataFrame(rows, columns=["record_id", "comment_id", "a", "b", "form", "first", "second", "l", "r", "seed"])
+
+    return texts.select("record_id", "comment_id", "body").mapInPandas(run, SCHEMA)
 
 
-def spans(records: DataFrame) -> DataFrame:
-    """Accepted spans: ``record_id, comment_id, a, b, kind, score``."""
-    cands = staged(candidate_rows(record_texts(records)), "candidates")
-    return scored(cands).filter((F.col("score") >= ACCEPT) & (F.col("kind") != "none"))
+def spans(records: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """Accepted spans: ``record_id, comment_id, a, b, kind, score``. Names in any case are looked for once the graph knows the given names."""
+    texts = record_texts(records)
+    cands = staged(candidate_rows(texts), "candidates")
+    value, pattern = graph(cands, rounds)
+    got = scored(cands, value, pattern).filter((F.col("score") >= ACCEPT) & (F.col("kind") != "none"))
+    more = scored(anycase_rows(texts, value), value, pattern).filter((F.col("named.first") >= NAME) & (F.col("named.rest") >= NEAR)).withColumn("kind", F.lit("person_name"))
+    return got.unionByName(more).drop("named", "form")
 
 
-def found(records: DataFrame) -> DataFrame:
+def found(records: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Cases: distinct ``record_id, comment_id, kind``."""
-    return spans(records).select("record_id", "comment_id", "kind").distinct()
+    return spans(records, rounds).select("record_id", "comment_id", "kind").distinct()
 
 
 def redact(body: str, marks: list) -> str:
