@@ -482,7 +482,7 @@ def fitted(background: list[str], rounds: int = 300, penalty: float = 0.01) -> S
     for _ in range(3):
         usual = [w for w in ordinary if not scorer.weights or scorer.logit(w) < 0]
         # words of which nothing is known are harmless, however few the ordinary sentences
-        every = rows + [([], 0.0, 2.0 * len(ABUSIVE))] + [(w, 0.0, 4.0 * len(ABUSIVE) / max(len(usual), 1)) for w in usual]
+        every = rows + [([], 0.0, 0.3 * len(ABUSIVE))] + [(w, 0.0, 4.0 * len(ABUSIVE) / max(len(usual), 1)) for w in usual]
         found_in = [[names[f] for _, f in Scorer.features(words) if f in names] + [len(names)] for words, _, _ in every]
         at = np.concatenate([np.array(f) for f in found_in])
         sizes = np.array([len(f) for f in found_in])
