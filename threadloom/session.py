@@ -55,12 +55,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     recomputed, and is deleted when the driver exits.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/threadloom-{uuid.uuid4().hex}/{name}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    _dropped_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """Path of a new folder in the shared folder, deleted when the driver exits."""
+    path = f"{shared_dir(spark).rstrip('/')}/threadloom-{uuid.uuid4().hex}/{name}"
+    _dropped_at_exit(spark, path)
+    return path
+
+
 def _dropped_at_exit(spark: SparkSession, path: str) -> None:
     if not _STAGED:
         atexit.register(drop_staged)
