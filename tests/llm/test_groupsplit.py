@@ -82,3 +82,39 @@ def test_update_keeps_known_and_quarantines_ties(spark):
     assert got[100] == "train" and got[101] == "quarantine" and got[102] in ("train", "validation", "test")
     _, same = G.update(state2, after, records(spark, []))
     assert {r["record_id"]: r["split"] for r in same.collect()} == got
+
+
+def test_table_survives_the_session(spark, tmp_path):
+    """A second process merges its batch into what the first one kept."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    path = str(tmp_path / "components")
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[2])!r})
+from threadloom.session import local_session
+from tests.llm.helpers import record, records
+from threadloom.llm import groupsplit as G
+spark = local_session(2, partitions=2)
+G.merge({path!r}, records(spark, [record(i, "x", author=f"a{{i}}", link=f"t3_l{{i // 2}}") for i in range(40)]))
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, capture_output=True, timeout=240)
+    before = {r["record_id"]: r["split"] for r in G.load(spark, path)[1].collect()}
+    assert len(before) == 40
+    late = [record(100, "x", author="a0", link="t3_new"), record(101, "x", author="zz", link="t3_new")]
+    _, members = G.merge(path, records(spark, late))
+    after = {r["record_id"]: r["split"] for r in members.collect()}
+    assert {k: after[k] for k in before} == before and after[100] == after[101] == before[0]
+
+
+def test_record_id_with_two_accounts_ties_them(spark):
+    rows = [record(1, "x", author="ann", link="t3_a"), record(1, "x", author="bob", link="t3_b"), record(2, "x", author="bob", link="t3_c"), record(3, "x", author="eve", link="t3_a"), record(4, "x", author=None, link=None), record(4, "x", author="kim", link=None), record(5, "x", author="kim", link=None)]
+    df = records(spark, rows)
+    got = {(r["record_id"], r["group_link"]) for r in G.found(df).collect()}
+    assert got == {(1, "a"), (2, "a"), (3, "a"), (4, None), (5, None)}
+    split = {}
+    for r in G.splits(df).collect():
+        split.setdefault(r["record_id"], set()).add(r["split"])
+    assert all(len(v) == 1 for v in split.values()) and split[1] == split[2] == split[3] and split[4] == split[5]

@@ -1,7 +1,7 @@
 """Problem 2: splits that keep related records together.
 
-Records are edges between account and thread nodes. A persisted table ``node, comp, split``
-holds the components so far; a new batch is merged into it with pointer jumping. Known
+Records are edges between account and thread nodes; a record id that comes with several of them ties them. A persisted table ``node, comp, split``
+holds the components so far (``save`` and ``load`` keep versions of it under a path); a new batch is merged into it with pointer jumping. Known
 components keep their split, new ones fill the deficits of the wanted proportions, and a
 record or new component that ties components of different splits together is quarantined.
 
@@ -12,17 +12,20 @@ batch leaves the table as it is; extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.llm.components import connected
-from threadloom.session import staged
+from threadloom.session import scratch, staged
 
 # Author names that stand for nobody in particular.
 NOBODY = ["", "[deleted]", "[removed]", "automoderator"]
 PROPORTIONS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 #: Components of at least this share of all records are placed one by one; there are at most 1 / BIG of them.
 BIG = 0.001
+STATE, MEMBERS = "node string, comp string, split string", "record_id bigint, comp string, split string"
 #: Hash ranges over which the small components are laid out.
 RANGES = 1024
 
@@ -62,15 +65,64 @@ def components(keys: DataFrame) -> DataFrame:
     with_t = keys.filter("t is not null").join(roots.select(F.col("node").alias("t"), "root"), "t", "left").select("record_id", "a", "t", F.coalesce("root", "t").alias("root"))
     lone = keys.filter("t is null").join(least.select("a", F.col("m").alias("node")), "a", "left").join(roots, "node", "left").select("record_id", "a", F.lit(None).cast("string").alias("t"), F.coalesce("root", "node").alias("root"))
     comp = F.coalesce(F.concat(F.lit("t:"), "root"), F.concat(F.lit("a:"), "a"), F.concat(F.lit("r:"), F.col("record_id").cast("string")))
-    return with_t.unionByName(lone).select("record_id", "a", "t", comp.alias("comp"))
-
-
-def found(records: DataFrame) -> DataFrame:
-    """``record_id, group_link`` of the records that belong with at least one other record."""
-    comps = staged(components(keyed(records)), "comps")
-    sizes = comps.groupBy("comp").agg(F.count_distinct("record_id").alias("n")).filter("n > 1").select("comp")
-    link = F.when(F.col("comp").startswith("t:"), F.substring("comp", 3, 1_000_000))
-    return comps.join(sizes, "comp", "left_semi").select("record_id", link.alias("group_link")).distinct()
+    return tied(staged(with_t.unionByName(lone).select("record_id", "a", "t", comp.alias("comp")), "comps"))
+
+
+def tied(comps: DataFrame) -> DataFrame:
+    """Components that one record id ties together (it came with several accounts or threads) become one."""
+    first, back = F.translate(F.substring("comp", 1, 1), "tar", "012"), F.translate(F.substring("root", 1, 1), "012", "tar")
+    node = comps.select("record_id", F.concat(first, F.expr("substring(comp, 2)")).alias("node")).distinct()
+    least = node.groupBy("record_id").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most")
+    roots = connected(node.join(least, "record_id").filter("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")))
+    name = lambda c, sign: F.concat(sign, F.expr(f"substring({c}, 2)"))
+    to = roots.select(name("node", F.translate(F.substring("node", 1, 1), "012", "tar")).alias("comp"), name("root", back).alias("to"))
+    return comps.join(to, "comp", "left").select("record_id", "a", "t", F.coalesce("to", "comp").alias("comp"))
+
+
+def save(path: str, state: DataFrame, members: DataFrame) -> None:
+    """Write the tables as a new version under ``path``, then name it in ``current`` by one atomic rename; the version before it stays whole until then."""
+    spark = state.sparkSession
+    version = uuid.uuid4().hex
+    state.write.parquet(f"{path}/{version}/state")
+    members.write.parquet(f"{path}/{version}/members")
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fresh, current = fs.Path(f"{path}/_next-{version}"), fs.Path(f"{path}/current")
+    out = fresh.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(fresh)
+    out.write(bytearray(version.encode()))
+    out.close()
+    kinds = getattr(fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(kinds, 1)
+    how[0] = kinds.OVERWRITE
+    fs.FileContext.getFileContext(fresh.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fresh, current, how)
+
+
+def load(spark: SparkSession, path: str) -> tuple[DataFrame | None, DataFrame | None]:
+    """``state`` and ``members`` of the current version under ``path``, or nothing."""
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    current = fs.Path(f"{path}/current")
+    if not current.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(current):
+        return None, None
+    version = spark.read.text(current.toString()).first()[0]
+    return spark.read.schema(STATE).parquet(f"{path}/{version}/state"), spark.read.schema(MEMBERS).parquet(f"{path}/{version}/members")
+
+
+def merge(path: str, records: DataFrame, proportions: dict[str, float] = PROPORTIONS, seed: str = "0") -> tuple[DataFrame, DataFrame]:
+    """Merge a batch into the tables kept under ``path`` (nothing there yet: begin them); returns the new tables, read from there."""
+    spark = records.sparkSession
+    save(path, *update(*load(spark, path), records, proportions, seed))
+    return load(spark, path)
+
+
+def found(records: DataFrame, path: str | None = None) -> DataFrame:
+    """``record_id, group_link`` of the records that belong with at least one other record, read from the component table under ``path``.
+
+    Without a path the table is begun in the shared folder and lives as long as the driver.
+    """
+    state, members = merge(path or scratch(records.sparkSession, "components"), records)
+    members = members.select("record_id", "comp").distinct()
+    sizes = members.groupBy("comp").agg(F.count("*").alias("n")).filter("n > 1").select("comp")
+    links = state.filter("node like 't:%'").groupBy("comp").agg(F.min(F.expr("substring(node, 3)")).alias("group_link"))
+    return members.join(sizes, "comp", "left_semi").join(links, "comp", "left").select("record_id", "group_link")
 
 
 def fill(sizes: DataFrame, have: dict[str, int], proportions: dict[str, float] = PROPORTIONS, seed: str = "0") -> DataFrame:
@@ -118,7 +170,8 @@ def update(state: DataFrame | None, members: DataFrame | None, records: DataFram
     """
     keys = keyed(records)
     if state is None or members is None:
-        comps = staged(components(keys), "comps")
+        comps = components(keys)
+        comps = staged(comps, "tied")
         sizes = staged(comps.groupBy("comp").agg(F.count_distinct("record_id").alias("n")), "sizes")
         chosen = staged(fill(sizes, {}, proportions, seed), "chosen")
         return _tables(comps.join(chosen, "comp"))
