@@ -37,8 +37,12 @@ ACCEPT = 0.5
 PRIOR = 1.0
 #: How much a use of which nothing is known yet counts against a pattern.
 UNKNOWN = 0.2
+#: Least score of the given name of a name that no seed marks.
+GIVEN_LEAST = 0.35
 #: Least score of a given name that is looked for in any case, and of what stands around it or of its surname.
 NAME, NEAR = 0.5, 0.2
+#: Score of a given name that needs nothing around it.
+SURE = 0.75
 #: Bits of the filter of given names that goes to every worker; names that share a bit are told apart by a join.
 NAME_BITS = 1 << 20
 
@@ -96,6 +100,8 @@ TITLED = re.compile(rf"(?<!\w){TITLE}\.? ({_CAP}(?:-{_CAP})*)(?: {_SUR})?", 0)
 TURNED = re.compile(rf"(?<![\w@])([A-ZÀ-Ý][A-ZÀ-Ýa-zà-ÿ'\-]+), ({_CAP})(?!\w)")
 ANYCASE = re.compile(r"(?<![\w@.\-])([a-zà-ÿ]{3,12})(?:,? )([a-zà-ÿ][a-zà-ÿ'\-]{2,24}|[a-z]\.)(?![\w@])", re.I)
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
+#: What no pattern reaches across.
+_STOP = re.compile(r"[.!?:]+\s|\n")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _GIVEN = re.compile(r"(?<![\w@.\-])[^\W\d_]{3,12}(?=,? )")
 #: End of a sentence; a short word before the point is an abbreviation.
@@ -145,11 +151,11 @@ class Words:
         return self.ends[min(len(self.ends), i + n) - 1] if i < len(self.ends) else len(self.text)
 
     def around(self, a: int, b: int) -> tuple[str, str]:
-        """The patterns left and right of a span: two words on the same line."""
+        """The patterns left and right of a span: two words of the same sentence."""
         i, j = bisect_left(self.ends, a + 1), bisect_left(self.starts, b)
         f = lambda part: " ".join("0" if x.isdigit() else x.lower() for x in part)
-        left = _WORD.findall(self.text[self.starts[max(0, i - 2)] : a].rsplit("\n", 1)[-1]) if i else []
-        right = _WORD.findall(self.text[b : self.ends[min(len(self.ends), j + 2) - 1]].split("\n", 1)[0]) if j < len(self.ends) else []
+        left = _WORD.findall(_STOP.split(self.text[self.starts[max(0, i - 2)] : a])[-1]) if i else []
+        right = _WORD.findall(_STOP.split(self.text[b : self.ends[min(len(self.ends), j + 2) - 1]])[0]) if j < len(self.ends) else []
         return ("L " + f(left[-2:])) if left else "", ("R " + f(right[:2])) if right else ""
 
 
@@ -273,7 +279,8 @@ def graph(cands: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]
     """Scores of instances (``i``) and patterns (``p``) by kind after ``rounds`` turns over their graph.
 
     A pattern is worth the share of its instances (surnames apart) that are of a kind, where one of which nothing is known counts little;
-    an instance is worth the same share of its uses, each judged by its better pattern, or what its seeds say.
+    an instance is worth the same share of its different
+    left or right patterns, whichever is less, or what its seeds say.
     """
     inst = F.filter(F.array("first", "second"), lambda x: x != "")
     uses = cands.select(F.explode(inst).alias("i"), "l", "r", "seed").groupBy("i", "l", "r", "seed").agg(F.count("*").alias("n"))
@@ -291,11 +298,13 @@ def graph(cands: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]
         known = known.groupBy("p", "i").agg(*[F.avg(k).alias(k) for k in all_kinds]).withColumn("weight", F.greatest(F.lit(UNKNOWN), *all_kinds))
         pattern = known.groupBy("p").agg(*[(F.sum(k) / (F.sum("weight") + PRIOR)).alias(k) for k in all_kinds])
         pattern = staged(pattern, "patterns")
-        side = lambda c: pattern.select(F.col("p").alias(c), *[F.col(k).alias(f"{c}_{k}") for k in all_kinds])  # noqa: E731, B023
-        better = lambda k: F.greatest(F.coalesce(F.col(f"l_{k}"), F.lit(0.0)), F.coalesce(F.col(f"r_{k}"), F.lit(0.0)))
-        spread = edges.filter("l <> '' or r <> ''").join(side("l"), "l", "left").join(side("r"), "r", "left").select("i", "n", *[better(k).alias(k) for k in all_kinds])
-        spread = spread.withColumn("weight", F.greatest(F.lit(UNKNOWN), *all_kinds)).groupBy("i")
-        spread = spread.agg(*[(F.sum(F.col("n") * F.col(k)) / (F.sum(F.col("n") * F.col("weight")) + PRIOR)).alias(k) for k in all_kinds])
+        spread = edges.select("i").distinct()
+        for c in ("l", "r"):
+            of = pattern.select(F.col("p").alias(c), *all_kinds, F.greatest(F.lit(UNKNOWN), *all_kinds).alias("weight"))
+            met = edges.filter(F.col(c) != "").select("i", c).distinct().join(of, c).groupBy("i")
+            spread = spread.join(met.agg(*[(F.sum(k) / (F.sum("weight") + PRIOR)).alias(f"{c}_{k}") for k in all_kinds]), "i", "left")
+        # the worse of the two sides counts; null where a side has no pattern
+        spread = spread.select("i", *[F.least(f"l_{k}", f"r_{k}").alias(k) for k in all_kinds])
         new = seed_value.select("i", *[F.col(k).alias(f"s_{k}") for k in all_kinds]).join(spread, "i", "left")
         value = staged(new.select("i", *[F.greatest(F.col(f"s_{k}"), F.coalesce(F.col(k), F.lit(0.0))).alias(k) for k in all_kinds]), "instances")
     return value, pattern
@@ -371,8 +380,8 @@ def spans(records: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     texts = record_texts(records)
     cands = staged(candidate_rows(texts), "candidates")
     value, pattern = graph(cands, rounds)
-    got = scored(cands, value, pattern).filter((F.col("score") >= ACCEPT) & (F.col("kind") != "none"))
-    more = scored(anycase_rows(texts, value), value, pattern).filter((F.col("named.first") >= NAME) & (F.col("named.rest") >= NEAR)).withColumn("kind", F.lit("person_name"))
+    got = scored(cands, value, pattern).filter((F.col("score") >= ACCEPT) & (F.col("kind") != "none") & ((F.col("kind") != "person_name") | (F.col("named.first") >= GIVEN_LEAST)))
+    more = scored(anycase_rows(texts, value), value, pattern).filterXX.withColumn("kind", F.lit("person_name"))
     return got.unionByName(more).drop("named", "form")
 
 
