@@ -381,7 +381,7 @@ def spans(records: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     cands = staged(candidate_rows(texts), "candidates")
     value, pattern = graph(cands, rounds)
     got = scored(cands, value, pattern).filter((F.col("score") >= ACCEPT) & (F.col("kind") != "none") & ((F.col("kind") != "person_name") | (F.col("named.first") >= GIVEN_LEAST)))
-    more = scored(anycase_rows(texts, value), value, pattern).filterXX.withColumn("kind", F.lit("person_name"))
+    more = scored(anycase_rows(texts, value), value, pattern).filter((F.col("named.first") >= NAME) & ((F.col("named.rest") >= NEAR) | (F.col("named.first") >= SURE))).withColumn("kind", F.lit("person_name"))
     return got.unionByName(more).drop("named", "form")
 
 
