@@ -63,9 +63,9 @@ def records(c: DataFrame, max_posts: int | None = None, max_records: int | None
 def replies_of(stimuli: DataFrame, c: DataFrame) -> DataFrame:
     """``stimuli`` (``id, link_key``) plus ``replies``: direct children in sibling order, bodies cut to 1,500 characters.
 
-    Children are semi-joined to the posts of the stimuli before they are collected.
+    Comments are semi-joined to the posts of the stimuli, then to the stimuli themselves, before children are collected.
     """
-    near = c.join(stimuli.select("link_key").distinct(), "link_key", "left_semi")
+    near = c.join(stimuli.select("link_key").distinct(), "link_key", "left_semi").join(stimuli.select(F.col("id").alias("parent_key")).distinct(), "parent_key", "left_semi")
     reply = F.struct("ord", F.struct("id", "author", F.substring(F.coalesce("body", F.lit("")), 1, 1500).alias("body"), "score", F.col("controversiality").cast("int").alias("controversiality"), "created_utc").alias("r"))
     kids = near.groupBy(F.col("parent_key").alias("id")).agg(F.transform(F.sort_array(F.collect_list(reply)), lambda x: x["r"]).alias("replies"))
     empty = F.array().cast("array<struct<id:string,author:string,body:string,score:bigint,controversiality:int,created_utc:bigint>>")

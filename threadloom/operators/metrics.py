@@ -43,12 +43,20 @@ def f1_macro(p: Column, t: Column) -> Column:
 def average_ranks(df: DataFrame, keys: list[str], x: str, rank: str) -> DataFrame:
     """``df`` plus the average rank of ``x`` within ``keys``; equal values share their mean rank.
 
-    Values are counted first, so a window holds distinct values only, whatever the ties.
+    Values are counted first, so a window holds distinct values only, whatever the ties. Without keys the
+    values are laid on ranges whose sums are added up, so no task sorts more than one range.
     """
     counts = df.groupBy(*keys, x).agg(F.count("*").alias("_n"))
-    w = Window.orderBy(x) if not keys else Window.partitionBy(*keys).orderBy(x)
-    ranks = counts.withColumn(rank, F.sum("_n").over(w) - (F.col("_n") - 1) / F.lit(2.0)).drop("_n")
-    return df.join(ranks, [*keys, x])
+    mean = F.col("_n") / F.lit(2.0) - F.lit(0.5)
+    if keys:
+        ranks = counts.withColumn(rank, F.sum("_n").over(Window.partitionBy(*keys).orderBy(x)) - mean)
+    else:
+        parts = staged(counts.repartitionByRange(F.col(x)).withColumn("_p", F.spark_partition_id()), "values")
+        sums = parts.groupBy("_p").agg(F.sum("_n").alias("_s"))
+        before = sums.select("_p", (F.sum("_s").over(Window.orderBy("_p")) - F.col("_s")).alias("_b"))
+        inside = F.sum("_n").over(Window.partitionBy("_p").orderBy(x))
+        ranks = parts.join(F.broadcast(before), "_p").withColumn(rank, F.col("_b") + inside - mean).drop("_p", "_b")
+    return df.join(ranks.drop("_n"), [*keys, x])
 
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str, name: str = "rho") -> DataFrame:

@@ -14,16 +14,20 @@ RANGES = 4096
 def first_by_hash(df: DataFrame, n: int | Column | None, seed: str, key: str, fraction: float | None = None) -> DataFrame:
     """``df`` plus boolean ``chosen`` for the first ``n`` rows (or ``int(rows * fraction)``) in seeded hash order of ``key``.
 
-    Rows are counted per hash range; ranges below the boundary are chosen whole and only the range on
-    the boundary is ranked, so no task sorts more than one range. Ties go by key; an empty table stays empty.
+    Rows are counted per hash range; ranges beside the boundary are chosen or left whole, without a shuffle, and only
+    the rows of the range on the boundary are ranked. Ties go by key; an empty table stays empty.
     """
     h = df.withColumn("_h", hash_unit(seed, F.col(key))).withColumn("_r", F.floor(F.col("_h") / (2**32 // RANGES)).cast("int"))
     sums = h.groupBy("_r").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_r")) - F.col("_n")
-    sums = sums.select("_r", before.alias("_before"), F.sum("_n").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_all"))
+    sums = sums.select("_r", "_n", before.alias("_before"), F.sum("_n").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_all"))
     limit = F.floor(F.col("_all") * F.lit(fraction)) if fraction is not None else (F.lit(n) if isinstance(n, int) else n)
+    placed = h.join(F.broadcast(sums), "_r").withColumn("_limit", limit)
+    extra = ["_h", "_r", "_before", "_all", "_n", "_limit"]
+    edge = (F.col("_before") < F.col("_limit")) & (F.col("_before") + F.col("_n") > F.col("_limit"))
     rank = F.row_number().over(Window.partitionBy("_r").orderBy("_h", key)) + F.col("_before")
-    return h.join(F.broadcast(sums), "_r").withColumn("chosen", rank <= limit).drop("_h", "_r", "_before", "_all")
+    clear = placed.filter(~edge).withColumn("chosen", F.col("_before") < F.col("_limit"))
+    return clear.unionByName(placed.filter(edge).withColumn("chosen", rank <= F.col("_limit"))).drop(*extra)
 
 
 def hash_limit(df: DataFrame, n: int, seed: str, key: str) -> DataFrame:
