@@ -134,3 +134,20 @@ def test_single_class_model(spark):
     train = spark.createDataFrame(rows, "record_id bigint, score bigint, width bigint, contr int, a double, b double")
     out = B.Tabular(["a", "b"], B._trees(3, 2)).fit(train).predict(train).collect()
     assert {r["controversiality"] for r in out} == {0} and len(out) == 20
+
+
+def test_retrieval_predictors(spark):
+    rows = [(1, "train", "the bus is late again", [1.0, 0.0], 10, 2, 0), (2, "train", "the soup was cold", [0.0, 1.0], 30, 4, 1), (3, "test", "late bus again", [0.9, 0.1], 0, 0, 0), (4, "test", "zzz", [0.0, 0.0], 0, 0, 0)]
+    df = spark.createDataFrame(rows, "record_id bigint, split string, text string, embedding array<float>, score bigint, width bigint, contr int")
+    train, rest = df.filter("split = 'train'"), df.filter("split <> 'train'")
+    got = {r["record_id"]: (r["score"], r["width"], r["controversiality"]) for r in B.get("retrieval_tfidf")(1).fit(train).predict(rest).collect()}
+    assert got == {3: (10, 2, 0), 4: (0, 0, 0)}
+    got = {r["record_id"]: (r["score"], r["width"]) for r in B.get("retrieval_sbert")(1).fit(train).predict(rest.filter("record_id = 3")).collect()}
+    assert got == {3: (10, 2)}
+
+
+def test_generative_predictors(spark):
+    echo = lambda prompts: ['{"score": %d, "controversiality": 0, "width": 1, "reply_summary": "x"}' % len(p) for p in prompts]
+    df = spark.createDataFrame([(1, "say", [("a", "b")])], "record_id bigint, prompt string, exemplars array<struct<prompt:string,completion:string>>")
+    score = {n: B.get(n)(echo).fit(df).predict(df).first()["score"] for n in ("llm", "llm_cot", "llm_fewshot")}
+    assert score["llm"] == 3 and score["llm_cot"] > 100 and score["llm_fewshot"] == len("a\nb\n\nsay")

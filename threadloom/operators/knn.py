@@ -74,15 +74,17 @@ def tfidf(rows: DataFrame, key: str, text: str, max_terms: int = 30000) -> DataF
     return weighed.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
-def sparse_neighbours(vectors: DataFrame, queries: DataFrame, k: int, key: str, block: int = 256) -> DataFrame:
-    """``query, key, sim``: the ``k`` rows of greatest cosine for every query, itself left out, ties by key.
+def sparse_neighbours(vectors: DataFrame, queries: DataFrame, k: int, key: str, block: int = 256, among: DataFrame | None = None) -> DataFrame:
+    """``query, key, sim``: the ``k`` rows of greatest cosine for every query, itself left out, ties by key;
+    neighbours are only the rows of ``among`` (``key``) where it is given.
 
     No join on terms, which would meet in every common word: blocks of queries go to all tasks as a
     matrix over the block's own terms, and every partition keeps its best ``k`` per query.
     """
     spark = vectors.sparkSession
     asked = staged(vectors.join(queries.select(key), key, "left_semi").groupBy(key).agg(F.collect_list("term").alias("ts"), F.collect_list("w").alias("ws")), "queries")
-    docs = staged(vectors.groupBy(key).agg(F.collect_list("term").alias("ts"), F.collect_list("w").alias("ws")), "vectors")
+    docs = vectors if among is None else vectors.join(among.select(key), key, "left_semi")
+    docs = staged(docs.groupBy(key).agg(F.collect_list("term").alias("ts"), F.collect_list("w").alias("ws")), "vectors")
     blocks = max(1, -(-asked.count() // block))
     out = None
     for b in range(blocks):

@@ -191,3 +191,68 @@ class Generative(Predictor):
 
         out = rows.select("record_id", self.prompt.alias("prompt")).mapInPandas(run, "record_id bigint, raw_output string")
         return out.withColumn("p", prediction(F.col("raw_output"))).select("record_id", "p.*", "raw_output")
+
+
+class Retrieval(Predictor):
+    """Similarity-weighted mean of the ``k`` nearest training records; 0 where nothing is near.
+
+    ``near(train, rows, k)`` gives ``query, record_id, sim``. Ids of training and other records differ.
+    """
+
+    def __init__(self, near: Callable[[DataFrame, DataFrame, int], DataFrame], k: int):
+        self.near, self.k = near, k
+
+    def fit(self, train: DataFrame) -> Retrieval:
+        self.train = train
+        return self
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        from threadloom.operators.knn import aggregated
+
+        summary = F.col("reply_summary") if "reply_summary" in self.train.columns else F.lit(None).cast("string").alias("reply_summary")
+        truth = self.train.select("record_id", "score", "width", "contr", summary)
+        got = aggregated(self.near(self.train, rows, self.k), truth, "record_id").withColumnRenamed("query", "record_id")
+        zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("score", "width", "controversiality")]
+        return rows.select("record_id").join(got, "record_id", "left").select("record_id", *zero, "reply_summary")
+
+
+@register("retrieval_tfidf")
+def retrieval_tfidf(k: int = 5, text: str = "text") -> Predictor:
+    """Neighbours by TF-IDF of ``text``, weighed over training and asked records together."""
+    from threadloom.operators.knn import sparse_neighbours, tfidf
+
+    def near(train: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+        vectors = tfidf(train.select("record_id", text).unionByName(rows.select("record_id", text)), "record_id", text)
+        return sparse_neighbours(vectors, rows, n, "record_id", among=train)
+
+    return Retrieval(near, k)
+
+
+@register("retrieval_sbert")
+def retrieval_sbert(k: int = 5, vec: str = "embedding") -> Predictor:
+    """Neighbours by sentence vectors that the records bring along in ``vec``."""
+    from threadloom.operators.knn import dense_neighbours
+
+    return Retrieval(lambda train, rows, n: dense_neighbours(train.select("record_id", vec), rows.select("record_id", vec), n, vec, "record_id"), k)
+
+
+@register("llm")
+def llm(generate: Callable[[list[str]], list[str]], prompt=None) -> Predictor:
+    """Zero-shot answers of ``generate`` to ``prompt`` (a column, ``prompt`` of the records by default)."""
+    return Generative(generate, F.col("prompt") if prompt is None else prompt)
+
+
+@register("llm_cot")
+def llm_cot(generate: Callable[[list[str]], list[str]], prompt=None) -> Predictor:
+    """As ``llm``, asked to reason before the answer."""
+    from threadloom.functions.prompts import COT_SUFFIX
+
+    return Generative(generate, F.concat(F.col("prompt") if prompt is None else prompt, F.lit(COT_SUFFIX)))
+
+
+@register("llm_fewshot")
+def llm_fewshot(generate: Callable[[list[str]], list[str]], exemplars=None, prompt=None) -> Predictor:
+    """As ``llm``, after the worked examples in ``exemplars`` (an array of ``prompt, completion``; ``exemplars`` of the records by default)."""
+    from threadloom.functions.prompts import fewshot
+
+    return Generative(generate, fewshot(F.col("exemplars") if exemplars is None else exemplars, F.col("prompt") if prompt is None else prompt))
