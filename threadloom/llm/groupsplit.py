@@ -120,9 +120,10 @@ def found(records: DataFrame, path: str | None = None) -> DataFrame:
     """
     state, members = merge(path or scratch(records.sparkSession, "components"), records)
     members = members.select("record_id", "comp").distinct()
-    sizes = members.groupBy("comp").agg(F.count("*").alias("n")).filter("n > 1").select("comp")
     links = state.filter("node like 't:%'").groupBy("comp").agg(F.min(F.expr("substring(node, 3)")).alias("group_link"))
-    return members.join(sizes, "comp", "left_semi").join(links, "comp", "left").select("record_id", "group_link")
+    # as many components as the records make: both sides are shuffled, none is broadcast
+    groups = members.groupBy("comp").agg(F.count("*").alias("n")).filter("n > 1").join(links.hint("merge"), "comp", "left")
+    return members.join(groups.hint("merge"), "comp").select("record_id", "group_link")
 
 
 def fill(sizes: DataFrame, have: dict[str, int], proportions: dict[str, float] = PROPORTIONS, seed: str = "0") -> DataFrame:
