@@ -118,3 +118,39 @@ def test_class_pairs_and_membership_give_all_pairs(spark):
     side = lambda c, train: [r for r, s, k in members if k == c and (s == "train") == train]
     got = {(min(x, y), max(x, y)) for e, t_ in O.class_links(df).collect() for x in side(e, False) for y in side(t_, True)}
     assert got == {tuple(r) for r in O.found(df).collect()} and len(O.class_links(df).collect()) == 2
+
+
+def test_cells_give_the_pairs_with_enough_words_in_common_and_no_others(monkeypatch):
+    """Texts of few templates meet in nearly every word; only pairs with enough words in common leave a cell, however deep it goes."""
+    import numpy as np
+    import pandas as pd
+
+    rng = random.Random(8)
+    phrases = [[f"p{i}x{j}y{k}" for k in range(3)] for i in range(12) for j in range(4)]
+    sets = [sorted({w for i in range(12) for w in (phrases[4 * i + rng.randrange(4)] + [f"n{rng.randrange(60)}"])[: rng.choice((2, 3, 4))]}) for _ in range(500)]
+    sets[150:300] = [sorted(w if rng.random() < 0.8 else f"z{rng.randrange(60)}" for w in sets[i]) for i in range(150)]
+    sets = [sorted(set(s)) for s in sets]
+    codes = {w: 5000 + i for i, w in enumerate(sorted({w for s in sets for w in s}))}
+    rows = pd.DataFrame({"cid": range(500), "codes": [np.array(sorted(codes[w] for w in s), dtype=np.uint16).tobytes() for s in sets]})
+    left, right = rows[:150], rows[150:]
+    want = {(i, j) for i in range(150) for j in range(150, 500) if len({*sets[i]} & {*sets[j]}) >= O._needed(len(sets[i]), len(sets[j]))}
+    assert want
+    for leaf, small in ((10**9, 0), (10**9, 2_048), (1, 0), (50, 20)):
+        monkeypatch.setattr(O, "LEAF", leaf)
+        monkeypatch.setattr(O, "SMALL", small)
+        got = O._met(left, right)
+        assert sorted(map(tuple, got.to_numpy().tolist())) == sorted(want)
+
+
+def test_bands_hold_every_text_once_and_meet_what_can_match():
+    import numpy as np
+
+    sizes = np.zeros(60, dtype=np.int64)
+    sizes[5:60] = 40
+    e, t = O.Bands(sizes, 100), O.Bands(sizes, 30)
+    meeting = e.meeting(t)
+    for d in range(5, 60):
+        for m in range(5, 60):
+            if O._needed(d, m) <= min(d, m):
+                a, b = e.cell(np.array([7]), np.array([d]))[0], t.cell(np.array([8]), np.array([m]))[0]
+                assert b in meeting[a] and a in t.meeting(e)[b]
