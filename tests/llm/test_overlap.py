@@ -154,3 +154,14 @@ def test_bands_hold_every_text_once_and_meet_what_can_match():
             if O._needed(d, m) <= min(d, m):
                 a, b = e.cell(np.array([7]), np.array([d]))[0], t.cell(np.array([8]), np.array([m]))[0]
                 assert b in meeting[a] and a in t.meeting(e)[b]
+
+
+def test_layout_of_letters_and_hidden_lines_do_not_part_a_comment(spark):
+    import unicodedata
+
+    base = "l'été dernier, le café près du théâtre était déjà fermé à cause d'une grève générale"
+    spoiler = "the old harbour tunnel closes early on every friday in winter"
+    rows = [record(0, base), record(1, unicodedata.normalize("NFD", base), "test"), record(2, base.replace("é", "&eacute;").replace("'", "&#39;"), "test"), record(3, spoiler), record(4, f">!{spoiler}!<", "test"), record(5, f"> {spoiler}", "test")]
+    df = records(spark, rows)
+    assert {tuple(r) for r in O.found(df).collect()} == {(0, 1), (0, 2), (3, 4)}
+    assert len(O.class_members(df).collect()) == 5
