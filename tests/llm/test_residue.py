@@ -75,3 +75,10 @@ def test_candidates_grow_with_the_table_not_its_square(spark):
     some = tables.filter("seg < 50").select("k", residue.F.col("seg").alias("f"))
     met = tables.join(some, "k").filter("seg <> f").count()
     assert met <= 50 * 20_000 * 8 * 4 / 2**24 + 50
+
+
+def test_labels_spread_from_forms_but_not_from_fields(spark):
+    error = "Traceback (most recent call last): the worker for the thread list stopped while it was reading page 3 of the archive"
+    notice = "Hello {{name}}, your post in the garden group was removed by a moderator because it had no title"
+    rows = [record(0, error), record(1, error.replace("Traceback (most recent call last): the", "Trace most recent call last the")), record(2, notice), record(3, notice.replace("{{name}}", "Anna"))]
+    assert {r["record_id"] for r in residue.found(records(spark, rows)).collect()} == {0, 1, 2}

@@ -2,8 +2,9 @@
 
 Texts are cut into segments (sentences and lines). Two things are trusted:
 
-* forms: unfilled fields, markup of a page, an error object, filler words. A form marks the
-  segment it stands in and nothing else, because a filled copy of a template is a complete notice.
+* forms: unfilled fields, markup of a page, an error object, filler words. A field marks the
+  segment it stands in and nothing else, because a filled copy of a template is a complete notice;
+  near-duplicates of the other forms are residue like them.
 * messages: a short list of messages as web servers and frameworks send them.
 
 Distinct segments get a 192-bit SimHash of their words and stand in ``TABLES`` tables, keyed by
@@ -11,7 +12,7 @@ Distinct segments get a 192-bit SimHash of their words and stand in ``TABLES`` t
 hashes that differ in at most ``TABLES * (FLIPS + 1) - 1`` = 23 bits always meet, and two segments
 of which one word in ten differs meet in about 95 of 100 cases. Who meets is compared by Hamming
 distance and by common words; the label goes on from what it reached, round after round, until
-no component grows. Only components with a trusted message are walked.
+no component grows. Only components with a trusted message or form are walked.
 
 Defined results: null, empty, ``[removed]`` and ``[deleted]`` texts are no cases; texts are
 read whole; repeated rows count once; an empty table gives no rows.
@@ -135,9 +136,14 @@ def _filler(words: list[str]) -> bool:
     return len(own) >= 3 and min(map(len, own)) >= 2 and SPOKEN.isdisjoint(own) and len(set(own)) <= 2 and max(sum(1 for _ in g) for _, g in groupby(own)) >= 3
 
 
+def field(segment: str) -> bool:
+    """Whether an unfilled field stands in a segment."""
+    return bool(_FIELD_CHARS.search(segment) and _FIELD.search(_CODE_QUOTE.sub(" ", segment)))
+
+
 def form(segment: str) -> int:
     """1 where the form of a segment makes it residue."""
-    if _FIELD_CHARS.search(segment) and _FIELD.search(_CODE_QUOTE.sub(" ", segment)):
+    if field(segment):
         return 1
     low = segment.lower().lstrip("*>_#-• \t\"'(")
     words = _LOW.findall(low)
@@ -174,7 +180,7 @@ class SimHash:
 
 
 def segment_rows(texts: DataFrame) -> DataFrame:
-    """``record_id, comment_id, seg, label, words`` of every segment of every text; ``label`` is 1 where the form decides. No shuffle."""
+    """``record_id, comment_id, seg, label, words`` of every segment of every text; ``label`` is 1 where the form decides; of a segment with a field ``words`` is empty. No shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict[str, tuple[str, int]] = {}
@@ -185,7 +191,7 @@ def segment_rows(texts: DataFrame) -> DataFrame:
                     if s not in memo:
                         if len(memo) > 200_000:
                             memo.clear()
-                        memo[s] = ("", 1) if form(s) else (masked(s), 0)
+                        memo[s] = ("", 1) if field(s) else (masked(s), form(s))
                     if any(memo[s]):
                         at.append(i)
                         norm.append(memo[s][0])
@@ -240,15 +246,16 @@ def near(open_: DataFrame, frontier: DataFrame) -> DataFrame:
 
 
 def residue_segments(rows: DataFrame, messages: list[str] | None = None, most_rounds: int | None = None) -> DataFrame:
-    """``seg`` of the segments in components with a trusted message; ``most_rounds`` cuts the spreading short (for comparison)."""
+    """``seg`` of the segments in components with a trusted message or form; ``most_rounds`` cuts the spreading short (for comparison)."""
     spark = rows.sparkSession
     # equal words have an equal hash, so one row of a segment is as good as another
     open_ = staged(with_sims(rows.filter("label = 0").select("seg", "words").dropDuplicates(["seg"])), "segments")
     lines = spark.createDataFrame([(masked(m),) for m in messages or MESSAGES], "words string").distinct().select(F.xxhash64("words").alias("seg"), "words")
-    frontier = known = staged(with_sims(lines.coalesce(1)), "trusted")
+    forms = rows.filter("label = 1 and size(array_distinct(split(words, ' '))) >= 3").select("seg", "words")
+    frontier = known = staged(with_sims(lines.unionByName(forms).dropDuplicates(["seg"]).coalesce(1)), "trusted")
     rounds = 0
     while most_rounds is None or rounds < most_rounds:
-        frontier = staged(near(open_.join(F.broadcast(known.select("seg")) if rounds == 0 else known.select("seg"), "seg", "left_anti"), frontier), "frontier")
+        frontier = staged(near(open_.join(F.broadcast(known.select("seg")) if rounds == 0 and known.count() <= BROADCAST else known.select("seg"), "seg", "left_anti"), frontier), "frontier")
         if frontier.isEmpty():
             break
         known = staged(known.unionByName(frontier), "known")
