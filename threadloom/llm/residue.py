@@ -235,7 +235,8 @@ def near(open_: DataFrame, frontier: DataFrame) -> DataFrame:
     """``seg, words, s0, s1, s2`` of the open segments that are near-duplicates of one of the frontier."""
     flips = [0, *(1 << i for i in range(24)), *((1 << i) + (1 << j) for i, j in combinations(range(24), 2))][: 1 + 24 + 276 * (FLIPS > 1)]
     small = frontier.count() <= BROADCAST
-    mark = F.broadcast if small else (lambda df: df)
+    # by size the planner would broadcast the lookups, which it takes for as small as the frontier
+    mark = F.broadcast if small else (lambda df: df.hint("merge"))
     probe = frontier.select(F.explode(_keys()).alias("k"), F.col("seg").alias("f"), *[F.col(f"s{i}").alias(f"f{i}") for i in range(3)])
     probe = probe.select(F.explode(F.array(*map(F.lit, flips))).alias("m"), "*").withColumn("k", F.col("k").bitwiseXOR(F.col("m"))).drop("m")
     tables = open_.select(F.explode(_keys()).alias("k"), "*")
