@@ -82,3 +82,34 @@ def test_labels_spread_from_forms_but_not_from_fields(spark):
     notice = "Hello {{name}}, your post in the garden group was removed by a moderator because it had no title"
     rows = [record(0, error), record(1, error.replace("Traceback (most recent call last): the", "Trace most recent call last the")), record(2, notice), record(3, notice.replace("{{name}}", "Anna"))]
     assert {r["record_id"] for r in residue.found(records(spark, rows)).collect()} == {0, 1, 2}
+
+
+def test_sharing_loses_no_pair(spark):
+    """Against brute force: every segment with four in five words common to a label stays, however rare the words are counted."""
+    rng = random.Random(3)
+    labels, open_ = [], []
+    for n in [1, 2, 3, 4, 5, 8, 9, 10, 16, 20, 45, 200]:
+        for _ in range(15):
+            w = rng.sample(WORDS[: 60 + 2 * n], n)
+            labels.append(" ".join(w))
+            spare = rng.sample([f"v{i}" for i in range(300)], n)
+            gone = rng.randint(0, n // 5)
+            open_ += [" ".join(w[gone:]), " ".join(w + spare[: n // 4]), " ".join((w[gone:] + spare[: n // 9])[::-1]), " ".join(rng.sample(WORDS, n))]
+    is_alike = lambda a, b: len(a & b) >= residue.ALIKE * len(a | b)
+    sets = [set(x.split(" ")) for x in labels]
+    want = {i for i, x in enumerate(open_) if any(is_alike(set(x.split(" ")), y) for y in sets)}
+    to = lambda texts, counts: residue.with_sims(spark.createDataFrame(list(enumerate(texts)), "seg bigint, words string"), counts)
+    for counts in (None, residue.word_counts(spark.createDataFrame([(x,) for x in open_], "words string"))):
+        got = {r["seg"] for r in residue.sharing(to(open_, counts), to(labels, counts)).collect()}
+        assert len(want) > 500 and want <= got
+
+
+def test_only_segments_with_rare_words_of_a_label_are_looked_up(spark, monkeypatch):
+    """Common words bring no segment into the tables, which are shuffled."""
+    rng = random.Random(4)
+    own = ["".join(rng.sample("bcdfghklmnprst", 6)) for _ in range(400)]  # digits would count as one word
+    talk = [" ".join(rng.sample("the to of page this we was is view you not have do in a".split(), 7) + rng.sample(own, 2)) for _ in range(3000)]
+    seen, near = [], residue.near
+    monkeypatch.setattr(residue, "near", lambda open_, frontier: (seen.append(open_.count()), near(open_, frontier))[1])
+    got = residue.found(records(spark, [record(i, t) for i, t in enumerate(talk)] + [record(9000, VARIANTS[0]), record(9001, "Access denied.")]))
+    assert {r["record_id"] for r in got.collect()} == {9000, 9001} and len(seen) == 2 and max(seen) <= 30, seen

@@ -8,12 +8,16 @@ Texts are cut into segments (sentences and lines). Two things are trusted:
 * messages: a short list of messages as web servers and frameworks send them.
 
 Distinct segments get a 192-bit SimHash of their words and stand in ``TABLES`` tables, keyed by
-24 of its bits. A trusted message looks up every key within ``FLIPS`` bits of its own, so two
+24 of its bits. Keys within ``FLIPS`` bits of each other meet, so two
 hashes that differ in at most ``TABLES * (FLIPS + 1) - 1`` = 23 bits always meet, and two segments
 of which one word in ten differs meet in about 95 of 100 cases. Who meets is compared by Hamming
 distance and by common words; the label goes on from what it reached, round after round, until
 no component grows. Only components with a trusted message or form are walked.
 
+Before a round, a scan without shuffle drops the segments that the comparison of words would refuse
+beside every label: of two segments with ``ALIKE`` common words, the first word in common, rarest
+first, is among the rarest fifth (and one more) of either. Only what is left is written to the tables.
+
 Defined results: null, empty, ``[removed]`` and ``[deleted]`` texts are no cases; texts are
 read whole; repeated rows count once; an empty table gives no rows.
 """
@@ -26,6 +30,7 @@ from itertools import combinations, groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +42,10 @@ from threadloom.session import staged
 TABLES, FLIPS = 8, 2
 #: Most bits of 192 in which near-duplicates differ, and the least share of common words (Jaccard).
 HAMMING, ALIKE = 48, 0.8
-#: Labelled segments up to which the lookups (``TABLES`` times 301 short rows each) are broadcast; beyond it both sides are shuffled by key.
+#: Labelled segments up to which the lookups (``TABLES`` times 301 short rows each at most) are broadcast; beyond it both sides are shuffled by key.
 BROADCAST = 256
+#: Hash buckets of the counts that say how rare a word is; bits of the map of the labels' rare words, and the distance in it from one class of length to the next.
+BUCKETS, BITS, STEP = 1 << 18, 1 << 22, 1_640_531
 
 # Segments that are residue wherever they stand, on the text as written.
 FIELD = [
@@ -154,13 +161,21 @@ def form(segment: str) -> int:
     return int(PAGE.match(segment.lower()) is not None)
 
 
+#: Least number of distinct words of each class of length; a segment stands at most one class from any with ``ALIKE`` = 4 / 5 common words.
+_LENGTHS = [1]
+while _LENGTHS[-1] < 1 << 40:
+    _LENGTHS.append(_LENGTHS[-1] * 5 // 4 + 1)
+_LENGTHS = np.array(_LENGTHS)
+
+
 class SimHash:
-    """192-bit SimHash over the distinct words of texts, as three longs, a batch at a time."""
+    """192-bit SimHash over the distinct words of texts, as three longs, and the codes of their rarest words, a batch at a time."""
 
     def __init__(self) -> None:
         self.words: dict[str, bytes] = {}
 
-    def batch(self, texts: list[str]) -> np.ndarray:
+    def digests(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """32 bytes for every distinct word of every text, and the number of distinct words of each text."""
         flat, sizes = [], []
         for t in texts:
             w = set(t.split(" "))
@@ -168,16 +183,31 @@ class SimHash:
                 if x not in self.words:
                     if len(self.words) > 500_000:
                         self.words.clear()
-                    self.words[x] = xxhash.xxh128_digest(x) + xxhash.xxh64_digest(x, 7)
+                    # the last eight bytes are Spark's own hash of the word
+                    self.words[x] = xxhash.xxh128_digest(x) + xxhash.xxh64_digest(x, 7) + xxhash.xxh64_digest(x, 42)
                 flat.append(self.words[x])
             sizes.append(len(w))
-        if not texts:
+        return np.frombuffer(b"".join(flat), dtype=np.uint8).reshape(-1, 32), np.array(sizes, dtype=np.int64)
+
+    @staticmethod
+    def sims(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        if not len(sizes):
             return np.zeros((0, 3), dtype=np.int64)
-        sizes = np.array(sizes)
-        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        ones = np.add.reduceat(np.unpackbits(np.frombuffer(b"".join(flat), dtype=np.uint8).reshape(-1, 24), axis=1), starts, axis=0, dtype=np.int32)
+        starts = np.cumsum(sizes) - sizes
+        ones = np.add.reduceat(np.unpackbits(words[:, :24], axis=1), starts, axis=0, dtype=np.int32)
         return np.packbits(2 * ones > sizes[:, None], axis=1).view(np.int64).reshape(-1, 3)
 
+    @staticmethod
+    def rare(words: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes below ``BITS`` of the rarest words of each text and of its class of length, and where each text's codes begin."""
+        word = words[:, 24:].copy().view(">u8").ravel().astype(np.uint64)
+        order = np.lexsort((word, counts[(word % np.uint64(BUCKETS)).astype(np.int64)], np.repeat(np.arange(len(sizes)), sizes)))
+        least = sizes // 5 + 1
+        first = np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < np.repeat(least, sizes)
+        length = np.repeat(np.searchsorted(_LENGTHS, sizes, side="right"), least)
+        codes = ((word[order][first] >> np.uint64(42)).astype(np.int64) + length * STEP) % BITS
+        return codes.astype(np.int32), np.concatenate(([0], np.cumsum(least))).astype(np.int32)
+
 
 def segment_rows(texts: DataFrame) -> DataFrame:
     """``record_id, comment_id, seg, label, words`` of every segment of every text; ``label`` is 1 where the form decides; of a segment with a field ``words`` is empty. No shuffle."""
@@ -207,15 +237,28 @@ def segment_rows(texts: DataFrame) -> DataFrame:
     return texts.select("record_id", "comment_id", "body").mapInPandas(run, schema).withColumn("seg", F.xxhash64("words"))
 
 
-def with_sims(distinct: DataFrame) -> DataFrame:
-    """``seg, words`` plus the SimHash ``s0, s1, s2``."""
+def word_counts(rows: DataFrame) -> np.ndarray:
+    """How often the words of each hash bucket stand in the segments of ``rows``."""
+    word = rows.select(F.explode(F.split("words", " ")).alias("w"))
+    got = word.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("k")).agg(F.count("*").alias("n")).toArrow()
+    out = np.zeros(BUCKETS, dtype=np.int64)
+    out[got["k"].to_numpy()] = got["n"].to_numpy()
+    return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def with_sims(distinct: DataFrame, counts: np.ndarray | None = None) -> DataFrame:
+    """``seg, words`` plus the SimHash ``s0, s1, s2`` and ``rare``, the codes of the rarest words by ``counts``; all that are compared need the same counts."""
+    order = np.zeros(BUCKETS, dtype=np.int64) if counts is None else counts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sim = SimHash()
         for b in batches:
-            yield b.assign(**dict(zip(("s0", "s1", "s2"), sim.batch(b["words"].tolist()).T)))
+            words, sizes = sim.digests(b["words"].to_pylist())
+            codes, starts = sim.rare(words, sizes, order)
+            sims = [pa.array(x) for x in np.ascontiguousarray(sim.sims(words, sizes).T)]
+            yield pa.RecordBatch.from_arrays([b["seg"], b["words"], *sims, pa.ListArray.from_arrays(starts, codes)], ["seg", "words", "s0", "s1", "s2", "rare"])
 
-    return distinct.select("seg", "words").mapInPandas(run, "seg bigint, words string, s0 bigint, s1 bigint, s2 bigint")
+    return distinct.select("seg", "words").mapInArrow(run, "seg bigint, words string, s0 bigint, s1 bigint, s2 bigint, rare array<int>")
 
 
 def _keys() -> Column:
@@ -231,32 +274,54 @@ def _alike(a: str, b: str) -> Column:
     return F.size(F.array_intersect(x, y)) >= ALIKE * F.size(F.array_union(x, y))
 
 
+def sharing(open_: DataFrame, frontier: DataFrame) -> DataFrame:
+    """The open segments that hold a rare word of one of the frontier of like length: every one that ``_alike`` accepts beside it, and few others. No shuffle of ``open_``; the map of ``BITS`` bits is broadcast."""
+    code = frontier.select(F.explode("rare").alias("c")).distinct().select(F.explode(F.array(*[F.pmod(F.col("c") + F.lit(d), F.lit(BITS)) for d in (-STEP, 0, STEP)])).alias("c"))
+    got = code.groupBy(F.shiftright("c", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, c & 63))").alias("bits")).toArrow()
+    bits = np.zeros(BITS // 64, dtype=np.int64)
+    bits[got["at"].to_numpy()] = got["bits"].to_numpy()
+    table = open_.sparkSession.createDataFrame([(bits.tolist(),)], "bits array<bigint>")
+    return open_.join(F.broadcast(table), F.expr("exists(rare, c -> bit_get(get(bits, shiftright(c, 6)), c & 63) = 1)"), "left_semi")
+
+
+def _flips(most: int) -> list[int]:
+    """The numbers of 24 bits of which at most ``most`` are set."""
+    return [sum(1 << i for i in at) for n in range(most + 1) for at in combinations(range(24), n)]
+
+
 def near(open_: DataFrame, frontier: DataFrame) -> DataFrame:
-    """``seg, words, s0, s1, s2`` of the open segments that are near-duplicates of one of the frontier."""
-    flips = [0, *(1 << i for i in range(24)), *((1 << i) + (1 << j) for i, j in combinations(range(24), 2))][: 1 + 24 + 276 * (FLIPS > 1)]
-    small = frontier.count() <= BROADCAST
+    """The rows of the open segments that are near-duplicates of one of the frontier."""
+    n, m = open_.count(), frontier.count()
+    # two keys within FLIPS bits meet however the flips are dealt out between them: the way with the fewest rows is taken
+    own = min(range(FLIPS + 1), key=lambda x: n * len(_flips(x)) + m * len(_flips(FLIPS - x)))
     # by size the planner would broadcast the lookups, which it takes for as small as the frontier
-    mark = F.broadcast if small else (lambda df: df.hint("merge"))
-    probe = frontier.select(F.explode(_keys()).alias("k"), F.col("seg").alias("f"), *[F.col(f"s{i}").alias(f"f{i}") for i in range(3)])
-    probe = probe.select(F.explode(F.array(*map(F.lit, flips))).alias("m"), "*").withColumn("k", F.col("k").bitwiseXOR(F.col("m"))).drop("m")
-    tables = open_.select(F.explode(_keys()).alias("k"), "*")
-    differ = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"f{i}"))) for i in range(3)), F.lit(0))
-    met = tables.join(mark(probe), "k").filter(differ <= HAMMING)
+    mark = F.broadcast if m <= BROADCAST else (lambda df: df.hint("merge"))
+
+    def keyed(df: DataFrame, name: str, flips: int) -> DataFrame:
+        keys = df.select(F.explode(_keys()).alias("k"), F.col("seg").alias(name), *[F.col(f"s{i}").alias(f"{name}{i}") for i in range(3)])
+        return keys.select(F.explode(F.array(*map(F.lit, _flips(flips)))).alias("m"), "*").withColumn("k", F.col("k").bitwiseXOR(F.col("m"))).drop("m")
+
+    differ = sum((F.bit_count(F.col(f"o{i}").bitwiseXOR(F.col(f"f{i}"))) for i in range(3)), F.lit(0))
+    met = keyed(open_, "o", own).join(mark(keyed(frontier, "f", FLIPS - own)), "k").filter(differ <= HAMMING).select("o", "f").distinct()
     texts = frontier.select(F.col("seg").alias("f"), F.col("words").alias("w0"))
-    return met.join(mark(texts), "f").filter(_alike("words", "w0")).select("seg", "words", "s0", "s1", "s2").dropDuplicates(["seg"])
+    alike = met.join(texts, "f").join(open_.select(F.col("seg").alias("o"), "words"), "o").filter(_alike("words", "w0"))
+    return open_.join(alike.select(F.col("o").alias("seg")), "seg", "left_semi")
 
 
 def residue_segments(rows: DataFrame, messages: list[str] | None = None, most_rounds: int | None = None) -> DataFrame:
     """``seg`` of the segments in components with a trusted message or form; ``most_rounds`` cuts the spreading short (for comparison)."""
     spark = rows.sparkSession
+    texts = rows.filter("label = 0").select("seg", "words")
+    counts = word_counts(texts)
     # equal words have an equal hash, so one row of a segment is as good as another
-    open_ = staged(with_sims(rows.filter("label = 0").select("seg", "words").dropDuplicates(["seg"])), "segments")
+    open_ = staged(with_sims(texts.dropDuplicates(["seg"]), counts), "segments")
     lines = spark.createDataFrame([(masked(m),) for m in messages or MESSAGES], "words string").distinct().select(F.xxhash64("words").alias("seg"), "words")
     forms = rows.filter("label = 1 and size(array_distinct(split(words, ' '))) >= 3").select("seg", "words")
-    frontier = known = staged(with_sims(lines.unionByName(forms).dropDuplicates(["seg"]).coalesce(1)), "trusted")
+    frontier = known = staged(with_sims(lines.unionByName(forms).dropDuplicates(["seg"]), counts), "trusted")
     rounds = 0
     while most_rounds is None or rounds < most_rounds:
-        frontier = staged(near(open_.join(F.broadcast(known.select("seg")) if rounds == 0 and known.count() <= BROADCAST else known.select("seg"), "seg", "left_anti"), frontier), "frontier")
+        fresh = staged(sharing(open_, frontier).join(known.select("seg"), "seg", "left_anti"), "fresh")
+        frontier = staged(near(fresh, frontier), "frontier")
         if frontier.isEmpty():
             break
         known = staged(known.unionByName(frontier), "known")
